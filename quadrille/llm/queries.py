@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ordinal, sharding, simhash, token_counts, token_ids, urlfilter
+from . import decontaminate, mixing, ordinal, quality, sharding, simhash, token_counts, token_ids, urlfilter
 from .common import SPACE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return ordinal.score(docs, ordinal.train(docs, table(spark, d, "labels")))
 
 
+def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.score(_docs(spark, d), table(spark, d, "labels"))
+
+
 def op5_token_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids.token_table(_docs(spark, d), vocabulary())
 
@@ -82,6 +86,19 @@ g AS (SELECT u AS doc_id, min(v) AS group_id FROM r GROUP BY u)
 SELECT d.doc_id, coalesce(g.group_id, d.doc_id) AS group_id, coalesce(g.group_id = d.doc_id, true) AS keep FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g USING (doc_id)
 """
 
+_OP4 = rf"""
+WITH t AS (SELECT row_number() OVER () AS n, documents.doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SPACE}+'), x -> x <> '') AS w, g.doc_id IS NOT NULL AS trusted
+  FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality > 0 AND toxic <= 0) g ON documents.doc_id = g.doc_id),
+h AS (SELECT n, trusted, list_transform(w, x -> CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT n, trusted, unnest(h) % {quality.BUCKETS} AS cell FROM h UNION ALL
+  SELECT n, trusted, unnest(list_transform(range(1, len(h)), i -> (h[i] * {quality.A} + h[i + 1] * {quality.B}) % {quality.BUCKETS})) FROM h),
+k AS (SELECT cell, count(*) AS raw, count(*) FILTER (trusted) AS target FROM c GROUP BY cell),
+s AS (SELECT sum(raw) + {quality.BUCKETS} AS raw, sum(target) + {quality.BUCKETS} AS target, sum(target) > 0 AS fit FROM k),
+r AS (SELECT cell, CASE WHEN fit THEN ln((k.target + 1) / s.target) - ln((k.raw + 1) / s.raw) ELSE 0 END AS r FROM k, s),
+m AS (SELECT n, round(avg(r), 6) + 0.0 AS score FROM c JOIN r USING (cell) GROUP BY n)
+SELECT doc_id, coalesce(score, 0.0) AS score, coalesce(score, 0.0) >= {quality.LEAST} AS keep FROM t LEFT JOIN m USING (n)
+"""
+
 _OP7 = rf"""
 WITH d AS (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -138,4 +155,4 @@ SELECT doc_id, source, unnest(range(1, n + 1)) AS copy FROM c WHERE n > 0
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_simhash_near_dedup": _OP1, "op7_decontamination": _OP7, "op8_url_filters": _OP8, "op9_sharding": _OP9, "op10_source_mixing": _OP10}
+    return {"op1_simhash_near_dedup": _OP1, "op4_quality_rules": _OP4, "op7_decontamination": _OP7, "op8_url_filters": _OP8, "op9_sharding": _OP9, "op10_source_mixing": _OP10}
