@@ -87,11 +87,11 @@ SELECT d.doc_id, coalesce(g.group_id, d.doc_id) AS group_id, coalesce(g.group_id
 """
 
 _OP4 = rf"""
-WITH t AS (SELECT row_number() OVER () AS n, documents.doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SPACE}+'), x -> x <> '') AS w, g.doc_id IS NOT NULL AS trusted
+WITH t AS (SELECT row_number() OVER () AS n, documents.doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SPACE}+'), lambda x: x <> '') AS w, g.doc_id IS NOT NULL AS trusted
   FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality > 0 AND toxic <= 0) g ON documents.doc_id = g.doc_id),
-h AS (SELECT n, trusted, list_transform(w, x -> CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM t),
+h AS (SELECT n, trusted, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM t),
 c AS (SELECT n, trusted, unnest(h) % {quality.BUCKETS} AS cell FROM h UNION ALL
-  SELECT n, trusted, unnest(list_transform(range(1, len(h)), i -> (h[i] * {quality.A} + h[i + 1] * {quality.B}) % {quality.BUCKETS})) FROM h),
+  SELECT n, trusted, unnest(list_transform(range(1, len(h)), lambda i: (h[i] * {quality.A} + h[i + 1] * {quality.B}) % {quality.BUCKETS})) FROM h),
 k AS (SELECT cell, count(*) AS raw, count(*) FILTER (trusted) AS target FROM c GROUP BY cell),
 s AS (SELECT sum(raw) + {quality.BUCKETS} AS raw, sum(target) + {quality.BUCKETS} AS target, sum(target) > 0 AS fit FROM k),
 r AS (SELECT cell, CASE WHEN fit THEN ln((k.target + 1) / s.target) - ln((k.raw + 1) / s.raw) ELSE 0 END AS r FROM k, s),
