@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ordinal, quality, sharding, simhash, token_counts, token_ids, urlfilter
+from . import decontaminate, mixing, ordinal, pii, quality, sharding, simhash, token_counts, token_ids, urlfilter
 from .common import SPACE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op1_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, d))
 
 
+def op2_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    return pii.spans(_docs(spark, d))
+
+
 def op3_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     return ordinal.score(docs, ordinal.train(docs, table(spark, d, "labels")))
