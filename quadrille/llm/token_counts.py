@@ -16,8 +16,8 @@ read, so other columns may have any name.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import CHUNK, PATTERN, ChunkCache, encoding
+from .pretokens import CHUNK, PATTERN, encoding
 
 #: Documents in a batch; positions in it fit into 16 bits.
 BATCH = 1 << 14
-_TOP = 65535
+_TOP = 255
+_findall = regex.compile(PATTERN).findall
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -39,7 +40,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _pieces(chunk: str) -> list[str]:
-    return regex.findall(PATTERN, chunk)
+    if chunk[chunk[0] == " " :].isalpha():
+        return [chunk]
+    head, last = chunk[:-1], chunk[-1]
+    if head[head[:1] == " " :].isalpha() and not last.isalnum() and last != "'":
+        return [head, last]
+    return _findall(chunk)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,9 +54,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column(0).to_pylist():
             if t:
                 chunks.update(CHUNK.findall(t))
-        found: set[str] = set()
-        for c in chunks:
-            found.update(_pieces(c))
+        found = set(chain.from_iterable(map(_pieces, chunks)))
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["piece"])
 
 
@@ -67,35 +71,65 @@ def _count(vocabulary: str):
     return run
 
 
+class _Numbers(dict):
+    """Numbers its keys from 0 as they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+def _gather(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The pre-tokens of a batch, and for each entry, sorted by pre-token: its number, the text's and the frequency, at most _TOP."""
+    chunks, pieces = _Numbers(), _Numbers()
+    tokens = [np.fromiter(map(chunks.__getitem__, CHUNK.findall(t or "")), np.int32) for t in texts]
+    split = [[pieces[p] for p in _pieces(c)] for c in chunks]
+    width = np.fromiter(map(len, split), np.int64, len(split))
+    flat, start = np.fromiter(chain.from_iterable(split), np.int64, int(width.sum())), np.r_[0, np.cumsum(width)]
+    token, text = np.concatenate([*tokens, np.empty(0, np.int32)]), np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    n = width[token]
+    at = np.repeat(start[token], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    key, often = np.unique(flat[at] * BATCH + np.repeat(text, n), return_counts=True)
+    times = -(-often // _TOP)  # a frequency beyond _TOP takes several entries
+    last = np.cumsum(times) - 1
+    value = np.full(int(times.sum()), _TOP)
+    value[last] = often - _TOP * (times - 1)
+    key = np.repeat(key, times)
+    return list(pieces), key // BATCH, key % BATCH, value
+
+
+def _pack(which: np.ndarray, docs: np.ndarray, often: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a cell for each piece: the texts' numbers in 2 bytes each, then the frequencies in 1 each."""
+    n = np.bincount(which, minlength=pieces)
+    start = np.cumsum(n) - n
+    i = np.arange(len(which)) - start[which]
+    out, begin = np.empty(3 * len(which), np.uint8), 3 * start[which]
+    out[begin + 2 * i], out[begin + 2 * i + 1], out[begin + 2 * n[which] + i] = docs & 255, docs >> 8, often
+    return 3 * np.r_[0, np.cumsum(n)], out
+
+
+def _unpack(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of the cell, that of the text and the frequency, of each entry."""
+    n = np.fromiter(map(len, cells), np.int64, len(cells)) // 3
+    data = np.frombuffer(b"".join(cells), np.uint8).astype(np.int64)
+    start, which = np.cumsum(n) - n, np.repeat(np.arange(len(cells)), n)
+    i, begin = np.arange(len(which)) - start[which], 3 * start[which]
+    return which, data[begin + 2 * i] + 256 * data[begin + 2 * i + 1], data[begin + 2 * n[which] + i]
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (batch, piece, packed positions and frequencies), and one that has the batch's doc_ids, under a key that no pre-token can be: NUL and a digit are never in one."""
-    pieces = ChunkCache(_pieces)
+    """Rows (batch, piece, packed texts and frequencies), and one that has the batch's doc_ids, under a key that no pre-token can be: NUL and a digit are never in one."""
     for number, whole in enumerate(batches):
         for at in range(0, max(1, whole.num_rows), BATCH):
             batch = whole.slice(at, BATCH)
-            known: dict[str, int] = {}
-            docs, which, often = [], [], []
-            for n, t in enumerate(batch.column(1).to_pylist()):
-                counts: Counter[str] = Counter()
-                for chunk, k in Counter(CHUNK.findall(t or "")).items():
-                    for p in pieces[chunk]:
-                        counts[p] += k
-                which.append(np.fromiter((known.setdefault(p, len(known)) for p in counts), np.int32, len(counts)))
-                often.append(np.fromiter(counts.values(), np.int64, len(counts)))
-                docs.append(np.full(len(counts), n, np.int64))
-            w, k, d = (np.concatenate(x) for x in (which, often, docs)) if docs else (np.empty(0, np.int32),) * 3
-            while (k > _TOP).any():  # a frequency beyond 16 bits takes several entries
-                over = k > _TOP
-                w, d, k = np.r_[w, w[over]], np.r_[d, d[over]], np.r_[np.minimum(k, _TOP), k[over] - _TOP]
-            order = np.argsort(w, kind="stable")
-            packed = np.stack([d[order], k[order]], 1).astype("<u2").tobytes()
-            offsets = 4 * np.r_[0, np.cumsum(np.bincount(w, minlength=len(known)))]
+            pieces, *entries = _gather(batch.column(1).to_pylist())
+            offsets, packed = _pack(*entries, len(pieces))
             own = batch.column(0)
             ids = own.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + own.is_null().to_numpy(zero_copy_only=False).tobytes()
             uid = xxhash.xxh64_intdigest(ids, _task() * 1_000_003 + number * 4099 + at) - (1 << 63)
-            data = pa.BinaryArray.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(packed)])
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(packed)])
             yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([f"\0{uid + (1 << 63)}"], pa.string()), pa.array([ids], pa.binary())], ["batch", "piece", "data"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), uid, np.int64)), pa.array(list(known), pa.string()), data], ["batch", "piece", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), uid, np.int64)), pa.array(pieces, pa.string()), data], ["batch", "piece", "data"])
 
 
 def _task() -> int:
@@ -116,12 +150,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1).cast(pa.binary()), pa.nulls(own.num_rows, pa.binary())], names)
         rest = batch.filter(pc.invert(other))
         uids, n = rest.column(0).to_numpy(), rest.column(2).to_numpy()
-        cells = rest.column(1).to_pylist()
-        pairs = np.frombuffer(b"".join(cells), "<u2").reshape(-1, 2).astype(np.int64)
-        entries = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
-        value = pairs[:, 1] * np.repeat(n, entries)
+        which, text, often = _unpack(rest.column(1).to_pylist())
         names_, at = np.unique(uids, return_inverse=True)
-        flat = np.bincount(np.repeat(at, entries) * BATCH + pairs[:, 0], value, len(names_) * BATCH).reshape(-1, BATCH)
+        flat = np.bincount(at[which] * BATCH + text, often * n[which], len(names_) * BATCH).reshape(-1, BATCH)
         for uid, got in zip(names_.tolist(), flat):
             sums[uid] = sums[uid] + got if uid in sums else got
     for uid, s in sums.items():
