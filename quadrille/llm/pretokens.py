@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from functools import lru_cache
 
 import tiktoken
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Chunks that a task remembers.
-CACHE = 400_000
+#: Chunks that a worker remembers, twice.
+CACHE = 200_000
 
 
+@lru_cache(2)
 def encoding(vocabulary: str) -> tiktoken.Encoding:
     """vocabulary: the path of a file of ranks, one base64 token and its rank a line."""
     with open(vocabulary, "rb") as f:
@@ -28,14 +31,24 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
 
 
 class ChunkCache(dict):
-    """chunk -> make(chunk), made when first asked for; forgets all when full."""
+    """chunk -> the bytes of its ids, 4 each. When full, what was not asked for since the last time goes."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, vocabulary: str) -> None:
         super().__init__()
-        self.make = make
+        self.encode, self.before = encoding(vocabulary).encode_ordinary, {}
 
-    def __missing__(self, chunk: str):
+    def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
-        made = self[chunk] = self.make(chunk)
+        made = self.before.get(chunk)
+        if made is None:
+            made = array("i", self.encode(chunk)).tobytes()
+        self[chunk] = made
         return made
+
+
+@lru_cache(2)
+def chunk_cache(vocabulary: str) -> ChunkCache:
+    """That of this worker, which outlives a task."""
+    return ChunkCache(vocabulary)

@@ -17,7 +17,6 @@ lang and source are read, so other columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .pretokens import CHUNK, ChunkCache, encoding
+from .pretokens import CHUNK, chunk_cache
 
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 #: What the Parquet writer is told.
@@ -38,17 +37,16 @@ SCHEMA = "doc_id long, lang string, source string, n_tokens int, token_ids array
 
 def _encode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ChunkCache(encoding(vocabulary).encode_ordinary)
+        ids = chunk_cache(vocabulary).__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                lists = [None if t is None else np.fromiter(chain.from_iterable(map(ids.__getitem__, CHUNK.findall(t))), np.int32) for t in batch.column(3).to_pylist()]
-                lengths = np.array([0 if x is None else len(x) for x in lists], np.int64)
-                missing = np.array([x is None for x in lists], bool)
-                flat = np.concatenate([x for x in lists if x is not None] or [np.empty(0, np.int32)])
-                offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array(missing))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(lengths.astype(np.int32), mask=missing), tokens], ["doc_id", "lang", "source", "n_tokens", "token_ids"])
+                cells = [None if t is None else b"".join(map(ids, CHUNK.findall(t))) for t in batch.column(3).to_pylist()]
+                missing = np.array([x is None for x in cells], bool)
+                lengths = np.array([len(x or b"") // 4 for x in cells], np.int32)
+                flat = pa.Array.from_buffers(pa.int32(), int(lengths.sum()), [None, pa.py_buffer(b"".join(x for x in cells if x))])
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), flat, mask=pa.array(missing))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(lengths, mask=missing), tokens], ["doc_id", "lang", "source", "n_tokens", "token_ids"])
 
     return run
 
