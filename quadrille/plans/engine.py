@@ -103,8 +103,8 @@ class Engine:
         triples = engine.source.around(constants) if len(constants) == len(wanted) else engine.source.triples()
         return describe(triples, reduce(DataFrame.union, picked).where("node IS NOT NULL").distinct())
 
-    def instantiate(self, template: tuple[A.Triple, ...], sols: Solutions) -> DataFrame:
-        """(s, p, o) of the template for each solution; incomplete and illegal triples are left out. Blank nodes are fresh for each solution."""
+    def instantiate(self, template: tuple[A.Triple, ...], sols: Solutions, g: Column | None = None) -> DataFrame:
+        """(s, p, o) of the template for each solution, with a graph name if g is given; incomplete and illegal triples are left out. Blank nodes are fresh for each solution."""
         rows = sols.df
         if any(isinstance(n, A.Var) and n.name not in sols.values for t in template for n in (t.s, t.o)):
             rows = rows.withColumn("row_hash", F.sha2(F.to_json(F.struct(*(F.coalesce(v.text(), F.lit("")).alias(n) for n, v in sols.values.items()), F.lit(0).alias("_"))), 256))
@@ -123,7 +123,7 @@ class Engine:
         made = []
         for t in template:
             s, p, o = value(t.s), value(t.p), value(t.o)
-            made.append(rows.select(s.term().alias("s"), F.when(p.kind() == IRI, p.text()).alias("p"), o.term().alias("o")).where(f"s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND s.kind <> {LITERAL}"))
+            made.append(rows.select(*([] if g is None else [g.alias("g")]), s.term().alias("s"), F.when(p.kind() == IRI, p.text()).alias("p"), o.term().alias("o")).where(f"s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND s.kind <> {LITERAL}"))
         return reduce(DataFrame.union, made) if made else self.spark.createDataFrame([], f"s {TERM}, p string, o {TERM}")
 
     def solve(self, q: A.Select) -> Solutions:

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph
+from .dataset import Repository
+from .operators import graph, metrics
 from .plans.engine import Engine
+from .shacl.validate import Validator
 from .sources.quads import QuadSource
 from .sources.relational import BASE, benchmark_tables
+from .sources.turtle import parsed_lines
 from .terms import IRI, make
 from .vocab import RDF, RDFS
 
@@ -199,4 +202,69 @@ def _snapshot(spark: SparkSession, d: str) -> DataFrame:
     return graph.snapshot(_triples(spark, d, "region"))
 
 
+# shapes over tables
+_SHAPES = f"""@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix : <{BASE}> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
+"""
+
+
+def shape(name: str, target: str, constraint: str, sql: str) -> None:
+    """(node, value) of each violation."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = Validator(spark, benchmark_tables(spark, d), _SHAPES + f":S a sh:NodeShape ; sh:targetClass :{target} ; {constraint} .").validate()
+        return found.select(F.col("focus.lex").alias("node"), F.col("value.lex").alias("value"))
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+_CUSTOMER, _ORDER = f"'{BASE}customer/' || c_custkey AS node", f"'{BASE}orders/' || o_orderkey AS node"
+shape("shacl_min_count", "customer", "sh:property [ sh:path [ sh:inversePath :o_custkey ] ; sh:minCount 8 ]", f"SELECT {_CUSTOMER}, CAST(NULL AS VARCHAR) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) < 8")
+shape("shacl_max_count", "customer", "sh:property [ sh:path [ sh:inversePath :o_custkey ] ; sh:maxCount 15 ]", f"SELECT {_CUSTOMER}, CAST(NULL AS VARCHAR) AS value FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(*) > 15")
+shape("shacl_max_inclusive", "orders", "sh:property [ sh:path :o_totalprice ; sh:maxInclusive 400000 ]", f"SELECT {_ORDER}, CAST(o_totalprice AS VARCHAR) AS value FROM orders WHERE o_totalprice > 400000")
+shape("shacl_in", "orders", "sh:property [ sh:path :o_orderstatus ; sh:in ( 'F' 'O' ) ]", f"SELECT {_ORDER}, o_orderstatus AS value FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
+shape("shacl_pattern", "customer", "sh:property [ sh:path :c_mktsegment ; sh:pattern '^[A-H]' ]", f"SELECT {_CUSTOMER}, c_mktsegment AS value FROM customer WHERE NOT regexp_matches(c_mktsegment, '^[A-H]')")
+shape("shacl_class", "customer", "sh:property [ sh:path :c_nationkey ; sh:class :region ]", f"SELECT {_CUSTOMER}, '{BASE}nation/' || c_nationkey AS value FROM customer")
+shape("shacl_datatype", "supplier", "sh:property [ sh:path :s_acctbal ; sh:datatype xsd:decimal ]", f"SELECT '{BASE}supplier/' || s_suppkey AS node, CAST(s_acctbal AS VARCHAR) AS value FROM supplier")
+shape("shacl_has_value", "supplier", "sh:property [ sh:path ( :s_nationkey :n_regionkey :r_name ) ; sh:hasValue 'ASIA' ]", f"SELECT '{BASE}supplier/' || s_suppkey AS node, CAST(NULL AS VARCHAR) AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+shape("shacl_length", "nation", "sh:property [ sh:path :n_name ; sh:minLength 5 ; sh:maxLength 8 ]", f"SELECT '{BASE}nation/' || n_nationkey AS node, n_name AS value FROM nation WHERE length(n_name) NOT BETWEEN 5 AND 8")
+shape("shacl_less_than", "part", "sh:property [ sh:path :p_size ; sh:lessThan :p_partkey ]", f"SELECT '{BASE}part/' || p_partkey AS node, CAST(p_size AS VARCHAR) AS value FROM part WHERE NOT p_size < p_partkey")
+shape("shacl_or", "customer", "sh:or ( [ sh:path :c_acctbal ; sh:minInclusive 0 ] [ sh:path :c_mktsegment ; sh:hasValue 'BUILDING' ] )", f"SELECT {_CUSTOMER}, '{BASE}customer/' || c_custkey AS value FROM customer WHERE c_acctbal < 0 AND c_mktsegment <> 'BUILDING'")
+shape("shacl_not_node", "orders", "sh:property [ sh:path :o_custkey ; sh:not [ sh:path :c_acctbal ; sh:minInclusive 0 ] ]", f"SELECT {_ORDER}, '{BASE}customer/' || o_custkey AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0")
+shape("shacl_qualified", "customer", "sh:property [ sh:path [ sh:inversePath :o_custkey ] ; sh:qualifiedValueShape [ sh:path :o_totalprice ; sh:minInclusive 300000 ] ; sh:qualifiedMinCount 3 ]", f"SELECT {_CUSTOMER}, CAST(NULL AS VARCHAR) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice >= 300000 GROUP BY c_custkey HAVING count(o_orderkey) < 3")
+shape("shacl_sparql", "customer", """sh:sparql [ sh:select "SELECT $this ?value WHERE { ?o <http://tables.example/o_custkey> $this ; <http://tables.example/o_totalprice> ?value FILTER(?value > 450000) }" ]""", f"SELECT {_CUSTOMER}, CAST(o_totalprice AS VARCHAR) AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 450000")
+shape("shacl_unique_values_for", "nation", "sh:uniqueValuesFor ( :n_regionkey )", f"SELECT '{BASE}nation/' || a.n_nationkey AS node, '{BASE}nation/' || b.n_nationkey AS value FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+shape("shacl_closed", "region", "sh:closed true ; sh:property [ sh:path :r_regionkey ] ; sh:ignoredProperties ( <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> )", f"SELECT '{BASE}region/' || r_regionkey AS node, r_name AS value FROM region")
+
+
+# updates and measures
+@operator("update_delete_insert", f"SELECT '{BASE}customer/' || c_custkey AS node, CASE c_mktsegment WHEN 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END AS segment FROM customer")
+def _update(spark: SparkSession, d: str) -> DataFrame:
+    repo = Repository(spark, _triples(spark, d, "customer").select(F.lit(None).cast("string").alias("g"), "*"))
+    repo.update(_P + "DELETE { ?c :c_mktsegment 'BUILDING' } INSERT { ?c :c_mktsegment 'HOUSES' } WHERE { ?c :c_mktsegment 'BUILDING' }")
+    return repo.select(_P + "SELECT ?node ?segment WHERE { ?node :c_mktsegment ?segment }")
+
+
+@operator("graph_counts", "SELECT count(*) * 6 AS triples, count(*) AS subjects, 6 AS predicates, 4 * count(*) AS literal_objects FROM customer")
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    got = metrics.graph_counts(_triples(spark, d, "customer"))
+    return got.select("triples", "subjects", F.col("predicates").cast("int").alias("predicates"), "literal_objects")
+
+
+@operator("entity_counts", f"SELECT '{BASE}nation' AS type, count(*) AS n FROM nation UNION ALL SELECT '{BASE}region', count(*) FROM region")
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.entity_counts(_triples(spark, d, "nation", "region"))
+
+
+@operator("cell_statements", " UNION ALL ".join(f"SELECT '{BASE}graph/{t}' AS g, CAST({' + '.join(f'count({c})' for c in cs)} + count(*) AS BIGINT) AS n FROM {t}" for t, cs in (("region", ("r_regionkey", "r_name")), ("supplier", ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")), ("lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")))))
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return benchmark_tables(spark, d).quads(["region", "supplier", "lineitem"]).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@operator("line_round_trip", f"SELECT '{BASE}nation/' || n_nationkey AS node, n_name AS name FROM nation")
+def _round_trip(spark: SparkSession, d: str) -> DataFrame:
+    t = _triples(spark, d, "nation")
+    back = parsed_lines(t.select(graph.line(F.col("s"), F.col("p"), F.col("o")).alias("value")))
+    return back.where(F.col("p") == f"{BASE}n_name").select(F.col("s.lex").alias("node"), F.col("o.lex").alias("name"))
+
+
 __all__ = ["QUERIES", "SQL"]
