@@ -67,7 +67,7 @@ def best_cuts(groups: DataFrame, shards: int = SHARDS) -> list[int | None]:
         return []
     low = max(most, -(-total // shards))
     p, wide, tight = F.col("prefix"), low + most, low - most
-    near = F.ceil(p / F.lit(wide)) <= (F.floor(p / F.lit(tight)) if tight else F.lit(shards))
+    near = F.ceil(p / F.lit(max(wide, 1))) <= (F.floor(p / F.lit(tight)) if tight else F.lit(shards))
     rows = running.where(near | (p == total) | (p == 0)).select("prefix", "id").toPandas()
     rows = rows.sort_values(["prefix", "id"], na_position="first", kind="stable")
     prefix, ids = rows["prefix"].to_numpy(), rows["id"]
