@@ -14,6 +14,16 @@ before, and of each bucket only a spanning forest leaves, so a group of
 thousands of copies never becomes millions of pairs. Groups are the connected
 components.
 
+The SQL of op1_simhash_near_dedup defines groups() by the distance alone. A
+distance alone loses near copies that lie farther apart, so deduplicate(), which
+drops rows, goes by the texts: candidates are whatever is within ``max_bits`` or
+shares one of BANDS MinHash bands of its word shingles, and two texts of one
+connected group of candidates are near copies if the Jaccard similarity of their
+whole shingle sets is SURE or more, or LEAST or more within ``max_bits``. Bands
+are equality keys too; at similarity 0.7 a pair is missed with probability
+0.003, at 0.8 with 2e-6. Each candidate text is shuffled once, whatever the
+number of pairs; the texts of one group of candidates meet in one task.
+
 Defined results. A null text has no signature: its row is a group of its own
 and is kept. Texts without a word (empty ones too) are copies of one another.
 Rows that share a doc_id count as one document: their groups are one. A null
@@ -27,11 +37,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, fresh, written
@@ -42,6 +52,9 @@ CACHE = 1 << 17
 #: Rows that are compared at once; a bucket of more rows is held as a whole.
 CHUNK = 1 << 19
 SMALL = 24
+#: Words of a shingle, MinHash bands and the minima of each; the similarity of near copies, and that of those within MAX_BITS.
+SHINGLE, BANDS, ROWS, SURE, LEAST = 3, 32, 5, 0.7, 0.0
+_FACTORS = np.frombuffer(hashlib.shake_128(b"bands").digest(8 * BANDS * ROWS), np.uint64) | np.uint64(1)
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -79,6 +92,55 @@ class Signer:
         return hi, lo
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Shingler:
+    """The sorted hashes of a text's word shingles; fewer than SHINGLE words are one shingle."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        words = WORD.findall(text.lower())
+        if len(self.ids) > CACHE:
+            self.ids = {}
+        ids = self.ids
+        for w in set(words) - ids.keys():
+            ids[w] = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:8], "big")
+        of = np.zeros(max(len(words), SHINGLE), np.uint64)
+        of[: len(words)] = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+        n = len(of) - SHINGLE + 1
+        out = np.zeros(n, np.uint64)
+        for k in range(SHINGLE):
+            out = _mixed(out + of[k : k + n])
+        return np.unique(out)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for a in range(0, len(shingles), 2048):
+        least = np.minimum(least, (shingles[a : a + 2048, None] * _FACTORS).min(0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key.view(np.int64)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signer, shingler = Signer(), Shingler()
+    for batch in batches:
+        rows = []
+        for t in batch.column(1).to_pylist():
+            own = shingler(t)
+            rows.append((*signer(t), int.from_bytes(hashlib.md5(own.tobytes(), usedforsecurity=False).digest()[:8], "big", signed=True), bands(own)))
+        hi, lo, whole, keys = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (hi, lo, whole)), pa.array(keys, pa.list_(pa.int64()))], ["id", "hi", "lo", "whole", "bands"])
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = Signer()
     for batch in batches:
@@ -86,10 +148,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in signed], pa.int64()), pa.array([s[1] for s in signed], pa.int64())], ["id", "hi", "lo"])
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(id, hi, lo) of each row that has a doc_id and a text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign, "id long, hi long, lo long")
+    return _texts(docs).mapInArrow(_sign, "id long, hi long, lo long")
 
 
 def _variants(max_bits: int):
@@ -213,20 +278,85 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, group) of each distinct doc_id that has a text."""
-    signed = written(signatures(docs), "signatures")
-    distinct = signed.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
-    reps = distinct.select(F.col("rep").alias("id"), "hi", "lo")
+def _joined(signed: DataFrame, key: list[str], distinct: DataFrame, edges: Callable[[], DataFrame]) -> DataFrame:
     # rows of one doc_id under several signatures, and reps that stand for several signatures, are one node already
-    member = signed.join(distinct, ["hi", "lo"]).select("id", "rep").distinct()
+    member = signed.join(distinct.select(*key, "rep"), key).select("id", "rep").distinct()
     several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     links = member.join(several.select("id", "a"), "id").select("a", F.col("rep").alias("b")).union(several.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")))
-    found = components(near_pairs(reps, max_bits).union(links))
+    found = components(edges().union(links))
     to = found.withColumnRenamed("id", "rep")
     return member.join(to, "rep", "left").select("id", F.coalesce("group", "rep").alias("group")).groupBy("id").agg(F.min("group").alias("group"))
 
 
+def groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(id, group) of each distinct doc_id that has a text."""
+    signed = written(signatures(docs), "signatures")
+    distinct = signed.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
+    return _joined(signed, ["hi", "lo"], distinct, lambda: near_pairs(distinct.select(F.col("rep").alias("id"), "hi", "lo"), max_bits))
+
+
+def _linked(rows: list[tuple[int, int, int, np.ndarray]], max_bits: int) -> list[tuple[int, int]]:
+    """Edges that join the near copies among rows of (id, hi, lo, shingles)."""
+    hi, lo = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in (1, 2))
+    sizes = np.array([len(r[3]) for r in rows])
+    out, left = [], np.arange(len(rows))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            seed = queue.pop()
+            own = rows[seed][3]
+            flat = np.concatenate([rows[i][3] for i in left.tolist()])
+            found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(found.astype(np.int64), np.r_[0, np.cumsum(sizes[left])[:-1]])
+            alike = common / (len(own) + sizes[left] - common)
+            bits = np.bitwise_count(hi[seed] ^ hi[left]) + np.bitwise_count(lo[seed] ^ lo[left])
+            hit = (alike >= SURE) | ((bits <= max_bits) & (alike >= LEAST))
+            for x in left[hit].tolist():
+                out.append((rows[seed][0], rows[x][0]))
+                queue.append(x)
+            left = left[~hit]
+    return out
+
+
+def _confirm(max_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, shingler = Signer(), Shingler()
+        now, rows = None, []
+
+        def result(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([min(e) for e in edges], pa.int64()), pa.array([max(e) for e in edges], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            edges = []
+            for group, id_, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if group != now:
+                    edges += _linked(rows, max_bits)
+                    now, rows = group, []
+                rows.append((id_, *signer(text), shingler(text)))
+            yield result(edges)
+        yield result(_linked(rows, max_bits))
+
+    return run
+
+
+def confirmed_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(id, group) of each distinct doc_id that has a text; near copies are confirmed on the texts' shingles."""
+    signed = written(_texts(docs).mapInArrow(_sketch, "id long, hi long, lo long, whole long, bands array<long>"), "sketches")
+    key = ["hi", "lo", "whole"]
+    distinct = written(signed.groupBy(key).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "distinct")
+
+    def edges() -> DataFrame:
+        close = near_pairs(distinct.select(F.col("rep").alias("id"), "hi", "lo"), max_bits)
+        keys = distinct.select(F.explode("bands").alias("key"), F.col("rep").alias("b"))
+        shared = keys.select(F.min("b").over(Window.partitionBy("key")).alias("a"), "b").where("a <> b")
+        found = components(close.union(shared).distinct())
+        candidates = found.union(found.select("group", "group").distinct())  # components() has no row of a group's least id
+        texts = _texts(docs).join(candidates, "id").select("group", "id", "text").repartition("group").sortWithinPartitions("group")
+        return texts.mapInArrow(_confirm(max_bits), "a long, b long").distinct()
+
+    return _joined(signed.select("id", *key), key, distinct, edges)
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, group_id, keep) of each row of docs; of repeated rows of a doc_id one row is returned."""
     found = groups(docs, max_bits)
@@ -238,9 +368,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs that stay, one of each group, with all their columns."""
+    """The rows of docs that stay, one of each confirmed group, with all their columns."""
     key, mark = fresh(docs, "dedup_id", "dedup_drop")
-    gone = groups(docs, max_bits).where("id <> group").select(F.col("id").alias(key), F.lit(True).alias(mark))
+    gone = confirmed_groups(docs, max_bits).where("id <> group").select(F.col("id").alias(key), F.lit(True).alias(mark))
     rows = docs.withColumn(key, F.col("doc_id").cast("long")).join(gone, key, "left").where(F.col(mark).isNull())
     named = rows.where(F.col(key).isNotNull())
     order = [c for c in ("text", "source", "lang", "n_chars") if c in docs.columns]

@@ -97,6 +97,23 @@ def test_a_near_pair_shares_a_variant(bits):
         assert any(len(flips & set(range(a, a + w))) <= 1 for a, w in simhash.segments(bits))
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_beyond_the_bound_of_bits_go(spark):
+    rng = random.Random(17)
+    signer, rows = simhash.Signer(), []
+    while len(rows) < 60:
+        text = words(rng, rng.randrange(30, 60))
+        copy = f"{text} {words(rng, rng.randrange(4, 11))}"
+        if jaccard(text, copy) >= 0.75 and distance(signer(text), signer(copy)) > simhash.MAX_BITS:
+            rows += [(len(rows), text), (len(rows) + 1, copy)]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, len(rows), 2))
+
+
 # 2
 def test_personal_data_is_found_and_clean_text_left(spark, odd, empty):
     rng = random.Random(5)
