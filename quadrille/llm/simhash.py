@@ -53,7 +53,7 @@ CACHE = 1 << 17
 CHUNK = 1 << 19
 SMALL = 24
 #: Words of a shingle, MinHash bands and the minima of each; the similarity of near copies, and that of those within MAX_BITS.
-SHINGLE, BANDS, ROWS, SURE, LEAST = 3, 32, 5, 0.7, 0.0
+SHINGLE, BANDS, ROWS, SURE, LEAST = 3, 32, 5, 0.7, 0.3
 _FACTORS = np.frombuffer(hashlib.shake_128(b"bands").digest(8 * BANDS * ROWS), np.uint64) | np.uint64(1)
 
 

@@ -114,6 +114,16 @@ def test_near_copies_beyond_the_bound_of_bits_go(spark):
     assert kept == set(range(0, len(rows), 2))
 
 
+def test_long_unrelated_texts_stay(spark):
+    rng = random.Random(19)
+    vocab = [words(rng, 1) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(vocab, k=8000))) for i in range(6)]
+    rows += [(6, " ".join(rows[0][1].split()[::-1])), (7, rows[1][1] + " and one more")]
+    assert set(brute_groups(rows, simhash.MAX_BITS).values()) == {0}
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(7))
+
+
 # 2
 def test_personal_data_is_found_and_clean_text_left(spark, odd, empty):
     rng = random.Random(5)
