@@ -21,7 +21,9 @@ for it is bounded. Everything else, the scoring, covers every row. Fit and
 scoring have no random part: the same input gives the same model.
 
 Defined results. A null text scores as an empty one. Rows are scored one by one,
-repeated ones and null doc_ids too. Labels with a null in doc_id, quality or
+repeated ones and null doc_ids too. If no cell is telling enough for a weight, the
+fitted thresholds alone decide: every row has the labels' own share of each grade, and
+all are kept or none. Labels with a null in doc_id, quality or
 toxic are not used; of repeated labels of a doc_id the lowest grade counts. Without any usable label, or an empty document table, the model knows
 nothing: the score is 0, the thresholds give every grade the same probability,
 and such a model rejects nothing.
@@ -55,10 +57,8 @@ CACHE = 1 << 18
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
-
-    @property
-    def fitted(self) -> bool:
-        return bool(self.weights.any())
+    #: Whether any label was used.
+    fitted: bool = False
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
         """A row for each score, a column for each grade."""
@@ -174,6 +174,7 @@ def fit(cells: list[np.ndarray], grades: np.ndarray) -> Model:
         x[:d] = np.sign(x[:d]) * np.maximum(np.abs(x[:d]) - rate[:d] * LASSO, 0)
     model.weights[used] = x[:d]
     model.thresholds = x[d] + np.r_[0, np.cumsum(np.exp(x[d + 1 :]))]
+    model.fitted = True
     return model
 
 

@@ -181,6 +181,19 @@ def test_ordinal_classifier_on_held_out_documents(spark, odd, empty):
     assert not ordinal.train(odd, known.where("doc_id < 0")).fitted
 
 
+def test_few_labels_without_a_telling_word_still_decide(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of its own kind {i * i}") for i in range(12)], "doc_id long, text string")
+    for toxic, kept in ((3, 0), (1, 12)):
+        known = spark.createDataFrame([(i, 1, int(i < toxic)) for i in range(4)], "doc_id long, quality int, toxic int")
+        model = ordinal.train(docs, known)
+        assert not model.weights.any()
+        assert ordinal.select(docs, model).count() == kept
+        top = {r.p_top for r in ordinal.score(docs, model).collect()}
+        assert len(top) == 1 and 0 < top.pop() < 1
+    none = ordinal.train(docs, known.where("doc_id < 0"))
+    assert ordinal.select(docs, none).count() == 12
+
+
 # 4
 def test_quality_rule_is_that_of_brute_force(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 1, 0), (6, 1, None)], "doc_id long, quality int, toxic int")
