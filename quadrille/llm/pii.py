@@ -1,7 +1,7 @@
 """Personal data and secrets by weak supervision.
 
 Loose patterns find candidate spans in whole texts (whatever holds an "@" or a
-digit in a shape worth a look, version numbers too). Labelers vote on each, +1
+digit in a shape worth a look, version numbers too, or follows the name of a key). Labelers vote on each, +1
 personal, -1 not, 0 no opinion:
 
 * regex: the strict form of its kind (address with a domain, four octets, a
@@ -45,22 +45,26 @@ from .common import written
 LEAST, ROUNDS, STEPS = 0.5, 60, 400
 LABELERS = ("regex", "gazetteer", "context", "border", "size", "mix")
 
+#: A key after its name, digits or not.
+_LABELLED = re.compile(r"(?:token|secret|passw(?:or)?d|passphrase|pwd|key)[\"']?[ \t]*(?:[:=]|\bis\b)[ \t]*[\"']?(?P<span>[A-Za-z0-9_+/-]{16,}={0,2})(?![A-Za-z0-9_])", re.I)
+_NAMES = ("token", "secret", "passw", "passphrase", "pwd", "key")
 #: Loose patterns in the order of precedence.
 _LOOSE = [
-    ("secret", re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_])")),
     ("email", re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_])")),
+    ("secret", _LABELLED),
     ("phone", re.compile(r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4})?(?![\w])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")),
-    ("card", re.compile(r"(?<![\w.-])[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?(?![\w-])")),
+    ("card", re.compile(r"(?<![\w.-])[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?(?![\w-])|(?<![\w.-])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.-])[0-9]+(?:\.[0-9]+)+(?![\w-])")),
     ("national_id", re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.-])[0-9]+(?![\w-])(?!\.[0-9])")),
 ]
 KINDS = ("card", "email", "ip", "national_id", "phone", "secret")
 _STRICT = {
-    "secret": re.compile(r"(?:[0-9A-Fa-f]{16,}|AKIA[0-9A-Z]{16}|(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/-]{20,}={0,2})"),
+    "secret": re.compile(r"(?:[0-9A-Fa-f]{16,}|AKIA[0-9A-Z]{16}|(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/-]{20,}={0,2}|(?=.*[a-z])(?=.+[A-Z])[A-Za-z_+/-]{20,}={0,2})"),
     "email": re.compile(r"[A-Za-zÀ-ÿ0-9][\wÀ-ÿ.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "phone": re.compile(r"\+?[0-9]{0,3} ?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{2,4}"),
-    "card": re.compile(r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}"),
+    "card": re.compile(r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"),
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"),
     "national_id": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
 }
@@ -124,15 +128,23 @@ def features(kind: str, span: str, left: str, right: str) -> list[int]:
     return [int(s + v) for s, v in zip(_STARTS, values)]
 
 
+def _named(text: str) -> bool:
+    low = text.lower()
+    return any(n in low for n in _NAMES)
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each candidate of a text, without overlaps."""
     found: list[tuple[str, int, int]] = []
     taken = np.zeros(0, bool)
+    named = _named(text)
     for kind, pattern in _LOOSE:
         if kind == "email" and "@" not in text:
             continue
+        if pattern is _LABELLED and not named:
+            continue
         for m in pattern.finditer(text):
-            a, b = m.span()
+            a, b = m.span("span") if pattern is _LABELLED else m.span()
             if kind == "email":
                 b = a + len(m[0].rstrip(".-"))
             if not len(taken):
@@ -144,7 +156,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 
 _LOOK = re.compile(r"[0-9@]")
-_PIECE = re.compile(r"[^\n]*[0-9@][^\n]*")
+_PIECE, _LINE = re.compile(r"[^\n]*[0-9@][^\n]*"), re.compile(r"[^\n]+")
 _SCHEMA = "doc_id long, kind string, span_start int, span_end int, span string, votes array<int>, cells array<int>"
 
 
@@ -152,9 +164,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text or not _LOOK.search(text):
+            labelled = bool(text) and _named(text) and _LABELLED.search(text)
+            if not text or not labelled and not _LOOK.search(text):
                 continue
-            for line in _PIECE.finditer(text):  # no pattern crosses a line
+            for line in (_LINE if labelled else _PIECE).finditer(text):  # no pattern crosses a line
                 at, own = line.start(), line[0]
                 for kind, a, b in candidates(own):
                     span, left, right = own[a:b], own[max(0, a - 24) : a], own[b : b + 2]
@@ -195,7 +208,7 @@ def train(cells: np.ndarray, target: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 def spans(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, kind, span_start, span_end, span, probability) of each span found."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text RLIKE '[0-9@]'")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text RLIKE '[0-9@]|(?i:token|secret|passw|passphrase|pwd|key)'")
     found = written(rows.mapInArrow(_find, _SCHEMA), "candidates")
     # distinct patterns: at most 3^6 votes for as many sets of cells as occur, both bounded by design
     table = found.groupBy("votes", "cells").count().toPandas()

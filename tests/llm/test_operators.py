@@ -146,6 +146,16 @@ def test_personal_data_is_found_and_clean_text_left(spark, odd, empty):
     assert pii.spans(empty).count() == 0
 
 
+def test_candidates_of_long_addresses_grouped_cards_and_named_keys(spark):
+    spans = {t: [(k, t[a:b]) for k, a, b in pii.candidates(t)] for t in ("to firstname_lastname_1984@corp.com now", "card 3782 822463 10005 is", "api_key = QwErTyUiOpAsDfGhJkLz", "the key QwErTyUiOpAsDfGhJkLz")}
+    assert list(spans.values()) == [[("email", "firstname_lastname_1984@corp.com")], [("card", "3782 822463 10005")], [("secret", "QwErTyUiOpAsDfGhJkLz")], []]
+    rng = random.Random(23)
+    keys = ["".join(rng.choices("abcdefghijkLMNOPQRSTUVWXYZ", k=24)) for _ in range(40)]
+    rows = [(i, f"some words\nwithout digits\napi_key = {k}") for i, k in enumerate(keys)]
+    got = {r.span for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(keys)
+
+
 def test_em_finds_who_is_reliable():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.3
