@@ -45,4 +45,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_at = path
+    return made
+
+
+def forget(*made: DataFrame) -> None:
+    """Deletes what written() wrote; no later step may read it."""
+    for df in made:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

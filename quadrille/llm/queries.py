@@ -80,11 +80,19 @@ n AS (SELECT doc_id, j,
   8 * CAST(sum(CASE WHEN v & 8 > 0 THEN k ELSE -k END) > 0 AS BIGINT) + 4 * CAST(sum(CASE WHEN v & 4 > 0 THEN k ELSE -k END) > 0 AS BIGINT)
   + 2 * CAST(sum(CASE WHEN v & 2 > 0 THEN k ELSE -k END) > 0 AS BIGINT) + CAST(sum(CASE WHEN v & 1 > 0 THEN k ELSE -k END) > 0 AS BIGINT) AS v
   FROM x GROUP BY doc_id, j),
-q AS (SELECT doc_id, (j - 1) // 8 AS part, CAST(sum(v << (4 * (7 - (j - 1) % 8))) AS BIGINT) AS v FROM n GROUP BY doc_id, part),
-s AS (SELECT d.doc_id, coalesce(max(v) FILTER (part = 0), 0) AS a, coalesce(max(v) FILTER (part = 1), 0) AS b, coalesce(max(v) FILTER (part = 2), 0) AS c, coalesce(max(v) FILTER (part = 3), 0) AS e
-  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) d LEFT JOIN q USING (doc_id) GROUP BY d.doc_id),
+e AS (SELECT doc_id, list_transform({_WORDS}, lambda y: CAST('0x' || substr(md5(y), 1, 8) AS BIGINT)) AS h FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g3 AS (SELECT doc_id, unnest(list_transform(range(1, greatest(2, len(h) - {simhash.SHINGLE - 2})), lambda i: (h[i] * {simhash.FACTORS[0]} + coalesce(h[i + 1], 0) * {simhash.FACTORS[1]} + coalesce(h[i + 2], 0) * {simhash.FACTORS[2]}) % {simhash.PRIME})) AS z
+  FROM e WHERE len(h) > 0),
+t AS (SELECT doc_id, (z * f) % {simhash.PRIME} AS z FROM g3, (SELECT unnest({list(simhash.TURNS)}) AS f)),
+m AS (SELECT doc_id, z % {simhash.BINS} AS bin, min(z // {simhash.BINS}) & 1 AS bit FROM t GROUP BY doc_id, bin),
+f AS (SELECT doc_id, j, arg_min(bit, (bin - j + {simhash.BINS}) % {simhash.BINS}) AS bit FROM m, (SELECT unnest(range({simhash.BINS})) AS j) GROUP BY doc_id, j),
+q AS (SELECT doc_id, (j - 1) // 8 AS part, CAST(sum(v << (4 * (7 - (j - 1) % 8))) AS BIGINT) AS v FROM n GROUP BY doc_id, part
+  UNION ALL SELECT doc_id, 4 + j // 32, CAST(sum(bit << (j % 32)) AS BIGINT) FROM f GROUP BY doc_id, j // 32),
+s AS (SELECT d.doc_id, list_transform(range(8), lambda i: coalesce(list_extract(v, CAST(list_position(p, i) AS BIGINT)), 0)) AS b
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) d LEFT JOIN (SELECT doc_id, list(part) AS p, list(v) AS v FROM q GROUP BY doc_id) USING (doc_id)),
 p AS (SELECT x.doc_id AS u, y.doc_id AS v FROM s x JOIN s y ON x.doc_id <> y.doc_id
-  AND bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) + bit_count(xor(x.c, y.c)) + bit_count(xor(x.e, y.e)) <= {simhash.MAX_BITS}),
+  AND bit_count(xor(x.b[1], y.b[1])) + bit_count(xor(x.b[2], y.b[2])) + bit_count(xor(x.b[3], y.b[3])) + bit_count(xor(x.b[4], y.b[4])) <= {simhash.MAX_BITS}
+  AND bit_count(xor(x.b[5], y.b[5])) + bit_count(xor(x.b[6], y.b[6])) + bit_count(xor(x.b[7], y.b[7])) + bit_count(xor(x.b[8], y.b[8])) <= {simhash.MAX_SKETCH}),
 r AS (SELECT doc_id AS u, doc_id AS v FROM s UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u),
 g AS (SELECT u AS doc_id, min(v) AS group_id FROM r GROUP BY u)
 SELECT d.doc_id, coalesce(g.group_id, d.doc_id) AS group_id, coalesce(g.group_id = d.doc_id, true) AS keep FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g USING (doc_id)

@@ -1,35 +1,39 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 Each text gets a 128-bit SimHash over its words, weighted by the root of their
-counts. Two texts are near copies if their signatures differ in at most
-``max_bits`` bits. The signature is cut into ``ceil((max_bits + 1) / 2)``
-segments, so by the pigeonhole principle one segment of a near pair differs in
-at most one bit. Each segment is indexed once per bit position with that bit
-wiped out (a one-wildcard variant); segments that differ in at most one bit
-share such a variant. An equality join on the variants (rows hash-partitioned
-and sorted by variant, so the self-join runs as a merge within each key)
-brings candidates together and the full distance is then verified: nothing
-within ``max_bits`` is missed. Exact copies of a signature are collapsed
-before, and of each bucket only a spanning forest leaves, so a group of
-thousands of copies never becomes millions of pairs. Groups are the connected
-components.
-
-The SQL of op1_simhash_near_dedup defines groups() by the distance alone. A
-distance alone loses near copies that lie farther apart, so deduplicate(), which
-drops rows, goes by the texts: candidates are whatever is within ``max_bits`` or
-shares one of BANDS MinHash bands of its word shingles, and two texts of one
-connected group of candidates are near copies if the Jaccard similarity of their
-whole shingle sets is SURE or more, or LEAST or more within ``max_bits``. Bands
-are equality keys too; at similarity 0.7 a pair is missed with probability
-0.003, at 0.8 with 2e-6. Each candidate text is shuffled once, whatever the
-number of pairs; the texts of one group of candidates meet in one task.
+counts, and a 128-bit sketch of its word shingles: each shingle falls into TURNS
+of 128 bins, a bin keeps one bit of its least hash (an empty one that of the next
+bin), so two sketches differ in about half of the share of shingles that the
+texts don't have in common. Two texts are near copies if their signatures differ
+in at most ``max_bits`` bits and their sketches in at most ``max_sketch``: words
+alone would take very long unrelated texts of one language for copies, as their
+word frequencies converge. Groups are the connected components.
+
+The signature is cut into ``ceil((max_bits + 1) / 2)`` segments, so by the
+pigeonhole principle one segment of a near pair differs in at most one bit. The
+index has a one-wildcard variant for each bit of each segment; segments that
+differ in at most one bit share a variant. What is shuffled is coarser: the
+wildcards of one block of bits share a key (the segment with the block wiped
+out), so a signature travels BLOCKS times a segment and not once a bit. The rows
+of a key are sorted by what the block holds; those that hold the same or differ
+in one bit of it, which are those that share a variant, are compared in full:
+nothing within the bounds is missed. Exact copies of signature and sketch are
+collapsed before, and a comparison goes from what is reached to what is not
+reached yet, so of a group of thousands of copies only a spanning forest is made.
+A key of more than SLICE rows is cut into slices, and each pair of slices is a
+task of its own: no task holds more than two slices, whatever the group.
+
+Work grows with the square of the corpus, over 2 to the segments' width (14 bits
+at the bounds used here): 17 bits are needed for the recall of near copies.
+Fewer ``max_bits`` make wider segments for a corpus of very many documents.
 
 Defined results. A null text has no signature: its row is a group of its own
 and is kept. Texts without a word (empty ones too) are copies of one another.
 Rows that share a doc_id count as one document: their groups are one. A null
 doc_id can't be named: such rows get a null group, match nothing and are kept.
 Of a group the row with the least doc_id stays; among repeated rows of that
-doc_id the least by (text, source, lang, n_chars). Columns other than doc_id
+doc_id the least by (text, source, lang, n_chars), then by all columns as JSON.
+doc_id must be a whole number or a string of one. Columns other than doc_id
 and text are never looked at by the grouping, whatever their names.
 """
 
@@ -41,20 +45,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, written
+from .common import WORD, forget, fresh, written
 
-BITS, MAX_BITS = 128, 13
+BITS, MAX_BITS, MAX_SKETCH = 128, 17, 38
 #: Words whose hash a task remembers.
-CACHE = 1 << 17
-#: Rows that are compared at once; a bucket of more rows is held as a whole.
-CHUNK = 1 << 19
-SMALL = 24
-#: Words of a shingle, MinHash bands and the minima of each; the similarity of near copies, and that of those within MAX_BITS.
-SHINGLE, BANDS, ROWS, SURE, LEAST = 3, 32, 5, 0.7, 0.3
-_FACTORS = np.frombuffer(hashlib.shake_128(b"bands").digest(8 * BANDS * ROWS), np.uint64) | np.uint64(1)
+CACHE = 1 << 18
+#: Words of a shingle, the bins that each shingle falls into, and what hashes them: sums of word hashes times FACTORS, modulo PRIME, times TURNS.
+SHINGLE, BINS, FACTORS, PRIME = 3, 128, (402_653_189, 331_804_471, 273_041_119), 2**44 - 17
+TURNS = (1, 174_763, 233_021, 349_529, 402_049, 451_669, 486_041, 519_947)
+#: Keys of a segment; rows of a key that one task compares; rows that a task gathers before it compares; candidates compared at once.
+BLOCKS, SLICE, CHUNK, AT_ONCE = 3, 1 << 20, 1 << 19, 1 << 20
+#: Groups of rows whose product is above this are compared as matrices.
+SMALL = 2048
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -65,87 +70,65 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
 
 
 class Signer:
+    """A text's signature and sketch, as four signed longs."""
+
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
         self.rows = np.empty((CACHE, BITS), np.int8)
+        self.codes: dict[str, int] = {}
 
-    def __call__(self, text: str) -> tuple[int, int]:
-        counts = Counter(WORD.findall(text.lower()))
-        if not counts:
-            return 0, 0
+    def words(self, counts: Counter) -> np.ndarray:
         sums = np.zeros(BITS, np.int64)
         words = list(counts)
         weights = np.floor(16 * np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))).astype(np.float32)
         for a in range(0, len(words), 8192):  # so that float32 sums are exact and long texts take little memory
             part = words[a : a + 8192]
             if len(self.ids) + len(part) > CACHE:
-                self.ids = {}
+                self.ids, self.codes = {}, {}
             new = [w for w in part if w not in self.ids]
             if new:
                 start = len(self.ids)
                 digests = b"".join(hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for w in new)
                 self.rows[start : start + len(new)] = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, BITS).astype(np.int8) * 2 - 1
                 self.ids.update(zip(new, range(start, start + len(new))))
+                self.codes.update(zip(new, np.frombuffer(digests, ">u4")[::4].tolist()))
             ids = self.ids
             sums += (weights[a : a + 8192] @ self.rows[[ids[w] for w in part]].astype(np.float32)).astype(np.int64)
-        hi, lo = np.packbits(sums > 0).view(">i8").tolist()
-        return hi, lo
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """The sorted hashes of a text's word shingles; fewer than SHINGLE words are one shingle."""
+        return sums > 0
+
+    def shingles(self, words: list[str]) -> np.ndarray:
+        """The bits of the bins."""
+        code, out = self.codes.get, np.full(BINS, np.iinfo(np.int64).max)
+        for a in range(0, max(1, len(words) - SHINGLE + 1), 1 << 16):
+            own = words[a : a + (1 << 16) + SHINGLE - 1]
+            h = np.zeros(max(len(own), SHINGLE), np.int64)
+            got = [code(w) for w in own]
+            if None in got:  # forgotten within a very long text
+                got = [int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:4], "big") if c is None else c for w, c in zip(own, got)]
+            h[: len(own)] = got
+            n = len(h) - SHINGLE + 1
+            x = sum(h[k : k + n] * f for k, f in enumerate(FACTORS)) % PRIME
+            x = (x[:, None] * np.array(TURNS) % PRIME).ravel()
+            np.minimum.at(out, x % BINS, x // BINS)
+        held = np.flatnonzero(out < np.iinfo(np.int64).max)
+        return (out[held[np.searchsorted(held, np.arange(BINS)) % len(held)]] & 1).astype(bool)
+
+    def __call__(self, text: str) -> tuple[int, int, int, int]:
+        words = WORD.findall(text.lower())
+        if not words:
+            return 0, 0, 0, 0
+        counts = Counter(words)
+        return tuple(np.packbits(np.r_[self.words(counts), self.shingles(words)]).view(">i8").tolist())
 
-    def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = WORD.findall(text.lower())
-        if len(self.ids) > CACHE:
-            self.ids = {}
-        ids = self.ids
-        for w in set(words) - ids.keys():
-            ids[w] = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:8], "big")
-        of = np.zeros(max(len(words), SHINGLE), np.uint64)
-        of[: len(words)] = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-        n = len(of) - SHINGLE + 1
-        out = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
-            out = _mixed(out + of[k : k + n])
-        return np.unique(out)
-
-
-def bands(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for a in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[a : a + 2048, None] * _FACTORS).min(0))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key.view(np.int64)
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    signer, shingler = Signer(), Shingler()
-    for batch in batches:
-        rows = []
-        for t in batch.column(1).to_pylist():
-            own = shingler(t)
-            rows.append((*signer(t), int.from_bytes(hashlib.md5(own.tobytes(), usedforsecurity=False).digest()[:8], "big", signed=True), bands(own)))
-        hi, lo, whole, keys = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (hi, lo, whole)), pa.array(keys, pa.list_(pa.int64()))], ["id", "hi", "lo", "whole", "bands"])
+COLUMNS = ("hi", "lo", "s1", "s2")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = Signer()
     for batch in batches:
-        signed = [signer(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in signed], pa.int64()), pa.array([s[1] for s in signed], pa.int64())], ["id", "hi", "lo"])
+        signed = list(zip(*map(signer, batch.column(1).to_pylist()))) or [()] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in signed)], ["id", *COLUMNS])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -153,98 +136,237 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, hi, lo) of each row that has a doc_id and a text."""
-    return _texts(docs).mapInArrow(_sign, "id long, hi long, lo long")
+    """(id, hi, lo, s1, s2) of each row that has a doc_id and a text."""
+    return _texts(docs).mapInArrow(_sign, "id long, hi long, lo long, s1 long, s2 long")
+
+
+def blocks(max_bits: int, per: int = BLOCKS) -> list[tuple[int, int, int, int]]:
+    """(first bit, width, first bit of the block within, width of the block) of each key of a signature."""
+    return [(first, width, width * k // per, width * (k + 1) // per - width * k // per) for first, width in segments(max_bits) for k in range(per)]
+
+
+def _values(hi: np.ndarray, lo: np.ndarray, first: int, width: int) -> np.ndarray:
+    """The bits of a signature from the first on, as numbers; hi and lo are unsigned."""
+    if first + width <= 64:
+        return (hi >> np.uint64(64 - first - width)) & np.uint64((1 << width) - 1)
+    if first >= 64:
+        return (lo >> np.uint64(128 - first - width)) & np.uint64((1 << width) - 1)
+    right = first + width - 64
+    return ((hi & np.uint64((1 << (64 - first)) - 1)) << np.uint64(right)) | (lo >> np.uint64(64 - right))
+
+
+def _keys(hi: np.ndarray, lo: np.ndarray, max_bits: int) -> Iterator[np.ndarray]:
+    for n, (first, width, at, wide) in enumerate(blocks(max_bits)):
+        wiped = ((1 << width) - 1) & ~(((1 << wide) - 1) << (width - at - wide))
+        yield (_values(hi, lo, first, width) & np.uint64(wiped)).astype(np.int64) | (n << 48)
+
+
+def _unsigned(batch: pa.RecordBatch, start: int, n: int = 2) -> list[np.ndarray]:
+    return [batch.column(start + i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(n)]
 
 
-def _variants(max_bits: int):
-    parts = segments(max_bits)
+def _tally(max_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def result() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
+            counts.clear()
+            return made
+
+        for batch in batches:
+            for key in _keys(*_unsigned(batch, 0), max_bits):
+                counts.update(dict(zip(*(x.tolist() for x in np.unique(key, return_counts=True)))))
+            if len(counts) > CACHE:
+                yield result()
+        yield result()
+
+    return run
+
+
+def _spread(max_bits: int, slices: dict[int, int]):
+    """A row for each key of a signature; where a key is cut into slices, one for each pair of slices that has the row's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.array(sorted(slices), np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                id_, hi, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                bits = np.unpackbits(np.stack([hi, lo], 1).astype(">i8").view(np.uint8).reshape(len(id_), 16), axis=1).astype(np.int64)
-                keys = []
-                for n, (first, width) in enumerate(parts):
-                    value = bits[:, first : first + width] @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64))
-                    wild = 1 << np.arange(width, dtype=np.int64)
-                    keys.append((value[:, None] & ~wild) | (np.arange(width, dtype=np.int64) << width) | (n << 52))
-                key = np.concatenate(keys, 1)
-                k = key.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(id_, k)), pa.array(np.repeat(hi, k)), pa.array(np.repeat(lo, k))], ["key", "id", "hi", "lo"])
+            for start in range(0, whole.num_rows, 10_000):
+                batch = whole.slice(start, 10_000)
+                hi, lo = _unsigned(batch, 1)
+                key = np.stack(list(_keys(hi, lo, max_bits)), 1)
+                row = np.repeat(np.arange(len(hi)), key.shape[1])
+                key, part = key.ravel(), np.zeros(key.size, np.int64)
+                at = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
+                if at.any():
+                    more: list[tuple[int, int, int]] = []
+                    mixed = (hi * np.uint64(0x9E3779B97F4A7C15)) ^ (lo * np.uint64(0xBF58476D1CE4E5B9))
+                    for r, k in zip(row[at].tolist(), key[at].tolist()):
+                        n = slices[k]
+                        own = int(mixed[r] >> np.uint64(40)) % n
+                        more += [(r, k, min(own, i) * n + max(own, i) + 1) for i in range(n)]
+                    extra = np.array(more, np.int64)
+                    row, key, part = (np.r_[x[~at], extra[:, i]] for i, x in enumerate((row, key, part)))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), *(c.take(pa.array(row)) for c in batch.columns)], ["key", "part", "id", *COLUMNS])
 
     return run
 
 
-def _forest(key: np.ndarray, id_: np.ndarray, hi: np.ndarray, lo: np.ndarray, max_bits: int, parent: dict[int, int], out: list[tuple[int, int]]) -> None:
-    """Adds to out edges that join whatever is within max_bits under one key, none that closes a circle."""
-
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    def join(a: int, b: int) -> None:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-
-    def near(a, b):
-        return np.bitwise_count(hi[a] ^ hi[b]) + np.bitwise_count(lo[a] ^ lo[b]) <= max_bits
-
-    hi, lo = hi.view(np.uint64), lo.view(np.uint64)  # of a negative number bitwise_count takes the absolute value
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-    rows = np.flatnonzero(small)
-    for d in range(1, SMALL):
-        rows = rows[rows + d < len(key)]
-        rows = rows[key[rows] == key[rows + d]]
-        if not len(rows):
-            break
-        hit = rows[near(rows, rows + d)]
-        for a, b in zip(id_[hit].tolist(), id_[hit + d].tolist()):
-            join(a, b)
-    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        left = np.arange(s, s + n)
-        while len(left):
-            queue, left = [int(left[0])], left[1:]
-            while queue and len(left):
-                seed = queue.pop()
-                hit = near(seed, left)
-                if hit.any():
-                    for x in left[hit].tolist():
-                        join(int(id_[seed]), int(id_[x]))
-                        queue.append(x)
-                    left = left[~hit]
-
-
-def _verify(max_bits: int):
+class Forest:
+    """Edges between near rows of one task, none that closes a circle."""
+
+    def __init__(self, id_: np.ndarray, sig: list[np.ndarray], max_bits: int, max_sketch: int) -> None:
+        self.id, self.sig, self.max_bits, self.max_sketch = id_, sig, max_bits, max_sketch
+        self.parent = np.arange(len(id_))
+        self.edges: list[tuple[int, int]] = []
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of rows, those that are near."""
+        hi, lo, s1, s2 = self.sig
+        first = np.bitwise_count(hi[a] ^ hi[b])
+        keep = np.flatnonzero(first <= self.max_bits)
+        a, b, first = a[keep], b[keep], first[keep]
+        keep = (first + np.bitwise_count(lo[a] ^ lo[b]) <= self.max_bits) & (np.bitwise_count(s1[a] ^ s1[b]) + np.bitwise_count(s2[a] ^ s2[b]) <= self.max_sketch)
+        return a[keep], b[keep]
+
+    def matrix(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The near pairs of a row of a with one of b."""
+        hi = self.sig[0]
+        x, y = np.nonzero(np.bitwise_count(hi[a][:, None] ^ hi[b][None, :]) <= self.max_bits)
+        return self.near(a[x], b[y])
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        p = self.parent
+        got = p[x]
+        while True:
+            up = p[got]
+            if (up == got).all():
+                p[x] = got
+                return got
+            got = up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        if not len(a):
+            return
+        apart = self.roots(a) != self.roots(b)
+        p = self.parent
+        for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+            rx, ry = x, y
+            while p[rx] != rx:
+                rx = p[rx]
+            while p[ry] != ry:
+                ry = p[ry]
+            if rx != ry:
+                p[max(rx, ry)] = min(rx, ry)
+                self.edges.append((x, y))
+
+    def pairs(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> None:
+        """Compares runs of rows, given by start and length, each of a with that of b in the same place; a run with itself if both start alike."""
+        size = na * nb
+        for big in np.flatnonzero(size > SMALL).tolist():
+            self.explore(np.arange(a[big], a[big] + na[big]), np.arange(b[big], b[big] + nb[big]) if a[big] != b[big] else None)
+        rest = np.flatnonzero((size > 0) & (size <= SMALL))
+        ends = np.cumsum(size[rest])
+        start = 0
+        while start < len(rest):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
+            own = rest[start:stop]
+            n = size[own]
+            of = np.repeat(np.arange(len(own)), n)
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            wide = nb[own][of]
+            x, y = a[own][of] + k // wide, b[own][of] + k % wide
+            once = x < y
+            self.join(*self.near(x[once], y[once]))
+            start = stop
+
+    def explore(self, a: np.ndarray, b: np.ndarray | None) -> None:
+        """Joins the near rows of two sets, or those of one. Floods from one row while that reaches many, else compares block by block."""
+        one, dense = b is None, True
+        b = a if one else b
+        while len(a) and len(b):
+            if dense:
+                before = len(a) + len(b)
+                a, b = self.flood(a, b, one)
+                dense = before - len(a) - len(b) > before // 8
+                continue
+            s = a[: max(1, min(256, (1 << 24) // len(b)))]
+            a = a[len(s) :]
+            if one:
+                b = a
+                x, y = self.matrix(s, s)
+                self.join(x[x < y], y[x < y])
+            x, y = self.matrix(s, b)
+            self.join(x, y)
+            dense = len(x) > 4 * (len(s) + len(b))
+
+    def flood(self, a: np.ndarray, b: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Joins all that the first row of a reaches; returns what is left. Each row reached is compared with all that is left on the other side, so none of its near rows is missed."""
+        sides = [a[1:], a[1:] if one else b]
+        queue, side = a[:1], 0
+        while len(queue):
+            side = 1 - side
+            found, at, step = [], 0, 1
+            while at < len(queue) and len(sides[side]):
+                x, y = self.matrix(queue[at : at + step], sides[side])
+                at, step = at + step, max(1, min(4 * step, 256, (1 << 24) // len(sides[side])))
+                if len(y):
+                    self.join(x, y)
+                    found.append(np.unique(y))
+                    sides[side] = sides[side][~np.isin(sides[side], found[-1])]
+            queue = np.concatenate([queue[:0], *found])
+            if one:
+                sides[1 - side] = sides[side]
+        return sides[0], sides[1]
+
+
+def _compare(key: np.ndarray, id_: np.ndarray, sig: list[np.ndarray], max_bits: int, max_sketch: int) -> list[tuple[int, int]]:
+    """Edges that join whatever is near among the rows of each key. Rows of one key and part are together."""
+    layout = blocks(max_bits)
+    number = key[:, 0] >> 48
+    held = np.zeros(len(id_), np.int64)
+    for n in np.unique(number).tolist():
+        first, width, at, wide = layout[n]
+        own = number == n
+        held[own] = ((_values(sig[0][own], sig[1][own], first, width) >> np.uint64(width - at - wide)) & np.uint64((1 << wide) - 1)).astype(np.int64)
+    order = np.lexsort((held, key[:, 1], key[:, 0]))
+    key, held, number = key[order], held[order], number[order]
+    forest = Forest(id_[order], [c[order] for c in sig], max_bits, max_sketch)
+    new = np.r_[True, (key[1:] != key[:-1]).any(1) | (held[1:] != held[:-1])]
+    start = np.flatnonzero(new)
+    n = np.diff(np.r_[start, len(held)])
+    group, value = np.cumsum(np.r_[True, (key[start[1:]] != key[start[:-1]]).any(1)]), held[start]
+    most = max(b[3] for b in layout)
+    code = group << most | value
+    for bit in range(most):
+        low = np.flatnonzero(value >> bit & 1 == 0)
+        to = np.searchsorted(code, code[low] | 1 << bit)
+        there = (to < len(code)) & (code[np.minimum(to, len(code) - 1)] == code[low] | 1 << bit)
+        low, to = low[there], to[there]
+        forest.pairs(start[low], n[low], start[to], n[to])
+    same = np.flatnonzero((number[start] % BLOCKS == 0) & (n > 1))  # an equal segment comes under each of its keys: once is enough
+    forest.pairs(start[same], n[same], start[same], n[same])
+    return [(int(forest.id[x]), int(forest.id[y])) for x, y in forest.edges]
+
+
+def _verify(max_bits: int, max_sketch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        size = 0
-        parent: dict[int, int] = {}
+        size, due = 0, CHUNK
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, parent
+            nonlocal held, size
             cols = [np.concatenate(c) for c in zip(*held)]
-            cut = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
-            held, size = [[c[cut:] for c in cols]], len(cols[0]) - cut
+            key, part = cols[:2]
+            before = np.flatnonzero((key != key[-1]) | (part != part[-1]))  # the last key may go on
+            cut = len(key) if last else int(before[-1]) + 1 if len(before) else 0
+            held, size = [[c[cut:] for c in cols]], len(key) - cut
             if cut:
-                edges: list[tuple[int, int]] = []
-                _forest(*(c[:cut] for c in cols), max_bits, parent, edges)
-                if len(parent) > CHUNK:
-                    parent = {}
+                edges = _compare(np.stack([key[:cut], part[:cut]], 1), cols[2][:cut], [c[:cut].view(np.uint64) for c in cols[3:]], max_bits, max_sketch)
                 if edges:
                     yield pa.RecordBatch.from_arrays([pa.array([min(e) for e in edges], pa.int64()), pa.array([max(e) for e in edges], pa.int64())], ["a", "b"])
 
-        due = CHUNK
         for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
             size += batch.num_rows
             if size >= due:
                 yield from flush(False)
@@ -255,23 +377,28 @@ def _verify(max_bits: int):
     return run
 
 
-def near_pairs(signed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b), a < b, that join every pair of distinct signatures within max_bits, directly or through others."""
-    keys = signed.mapInArrow(_variants(max_bits), "key long, id long, hi long, lo long")
-    together = keys.repartition("key").sortWithinPartitions("key")
-    return together.mapInArrow(_verify(max_bits), "a long, b long").distinct()
+def near_pairs(signed: DataFrame, max_bits: int = MAX_BITS, max_sketch: int = MAX_SKETCH, slice_rows: int = SLICE) -> DataFrame:
+    """Edges (a, b), a < b, that join every near pair of distinct (id, hi, lo, s1, s2), directly or through others."""
+    tally = signed.select("hi", "lo").mapInArrow(_tally(max_bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # few come to the driver: of each of the BLOCKS x segments layouts at most a share 1 / slice_rows of the rows, and at these bounds 2^10
+    slices = {r.key: -(-r.n // slice_rows) for r in tally.where(F.col("n") > slice_rows).collect()}
+    keys = signed.select("id", *COLUMNS).mapInArrow(_spread(max_bits, slices), "key long, part long, id long, hi long, lo long, s1 long, s2 long")
+    together = keys.repartition("key", "part").sortWithinPartitions("key", "part")
+    return together.mapInArrow(_verify(max_bits, max_sketch), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, group) of every id in an edge; group is the least id of its component. Large star and small star by turns."""
+    """(id, group) of every id in an edge but the least of each component; group is that least id. Large star and small star by turns, each a minimum joined back, so a hub's neighbours are never gathered."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
-        both = now.union(now.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"), F.collect_list("v").alias("n"))
-        large = both.select(F.explode("n").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("w")).where("u > w").select("u", "v")
-        least = large.distinct().groupBy("u").agg(F.min("v").alias("m"), F.collect_list("v").alias("n"))
-        small = least.select(F.explode(F.concat("n", F.array("u"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = written(small, "edges")
+        both = now.union(now.select("v", "u"))
+        large = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = written(large.distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
+        old, now = now, written(small, "edges")
+        forget(old, large)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             return now.select(F.col("u").alias("id"), F.col("v").alias("group"))
@@ -288,78 +415,16 @@ def _joined(signed: DataFrame, key: list[str], distinct: DataFrame, edges: Calla
     return member.join(to, "rep", "left").select("id", F.coalesce("group", "rep").alias("group")).groupBy("id").agg(F.min("group").alias("group"))
 
 
-def groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def groups(docs: DataFrame, max_bits: int = MAX_BITS, max_sketch: int = MAX_SKETCH) -> DataFrame:
     """(id, group) of each distinct doc_id that has a text."""
     signed = written(signatures(docs), "signatures")
-    distinct = signed.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
-    return _joined(signed, ["hi", "lo"], distinct, lambda: near_pairs(distinct.select(F.col("rep").alias("id"), "hi", "lo"), max_bits))
-
-
-def _linked(rows: list[tuple[int, int, int, np.ndarray]], max_bits: int) -> list[tuple[int, int]]:
-    """Edges that join the near copies among rows of (id, hi, lo, shingles)."""
-    hi, lo = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in (1, 2))
-    sizes = np.array([len(r[3]) for r in rows])
-    out, left = [], np.arange(len(rows))
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            seed = queue.pop()
-            own = rows[seed][3]
-            flat = np.concatenate([rows[i][3] for i in left.tolist()])
-            found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-            common = np.add.reduceat(found.astype(np.int64), np.r_[0, np.cumsum(sizes[left])[:-1]])
-            alike = common / (len(own) + sizes[left] - common)
-            bits = np.bitwise_count(hi[seed] ^ hi[left]) + np.bitwise_count(lo[seed] ^ lo[left])
-            hit = (alike >= SURE) | ((bits <= max_bits) & (alike >= LEAST))
-            for x in left[hit].tolist():
-                out.append((rows[seed][0], rows[x][0]))
-                queue.append(x)
-            left = left[~hit]
-    return out
-
-
-def _confirm(max_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, shingler = Signer(), Shingler()
-        now, rows = None, []
-
-        def result(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([min(e) for e in edges], pa.int64()), pa.array([max(e) for e in edges], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            edges = []
-            for group, id_, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if group != now:
-                    edges += _linked(rows, max_bits)
-                    now, rows = group, []
-                rows.append((id_, *signer(text), shingler(text)))
-            yield result(edges)
-        yield result(_linked(rows, max_bits))
-
-    return run
-
-
-def confirmed_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, group) of each distinct doc_id that has a text; near copies are confirmed on the texts' shingles."""
-    signed = written(_texts(docs).mapInArrow(_sketch, "id long, hi long, lo long, whole long, bands array<long>"), "sketches")
-    key = ["hi", "lo", "whole"]
-    distinct = written(signed.groupBy(key).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "distinct")
-
-    def edges() -> DataFrame:
-        close = near_pairs(distinct.select(F.col("rep").alias("id"), "hi", "lo"), max_bits)
-        keys = distinct.select(F.explode("bands").alias("key"), F.col("rep").alias("b"))
-        shared = keys.select(F.min("b").over(Window.partitionBy("key")).alias("a"), "b").where("a <> b")
-        found = components(close.union(shared).distinct())
-        candidates = found.union(found.select("group", "group").distinct())  # components() has no row of a group's least id
-        texts = _texts(docs).join(candidates, "id").select("group", "id", "text").repartition("group").sortWithinPartitions("group")
-        return texts.mapInArrow(_confirm(max_bits), "a long, b long").distinct()
-
-    return _joined(signed.select("id", *key), key, distinct, edges)
+    distinct = written(signed.groupBy(*COLUMNS).agg(F.min("id").alias("rep")), "distinct")
+    return _joined(signed, list(COLUMNS), distinct, lambda: near_pairs(distinct.withColumnRenamed("rep", "id"), max_bits, max_sketch))
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, max_sketch: int = MAX_SKETCH) -> DataFrame:
     """(doc_id, group_id, keep) of each row of docs; of repeated rows of a doc_id one row is returned."""
-    found = groups(docs, max_bits)
+    found = groups(docs, max_bits, max_sketch)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").isNull().alias("bare"))
     alone = named.where("doc_id IS NOT NULL AND bare").select("doc_id").distinct().join(found.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
     rows = found.select(F.col("id").alias("doc_id"), F.col("group").alias("group_id")).union(alone.select("doc_id", F.col("doc_id").alias("group_id")))
@@ -367,12 +432,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return rows.union(lost).select("doc_id", "group_id", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)).alias("keep"))
 
 
-def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs that stay, one of each confirmed group, with all their columns."""
-    key, mark = fresh(docs, "dedup_id", "dedup_drop")
-    gone = confirmed_groups(docs, max_bits).where("id <> group").select(F.col("id").alias(key), F.lit(True).alias(mark))
-    rows = docs.withColumn(key, F.col("doc_id").cast("long")).join(gone, key, "left").where(F.col(mark).isNull())
-    named = rows.where(F.col(key).isNotNull())
-    order = [c for c in ("text", "source", "lang", "n_chars") if c in docs.columns]
-    one = named.groupBy(key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*order)).alias(mark)).select(f"{mark}.*")
-    return one.unionByName(rows.where(F.col(key).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns)))
+def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS, max_sketch: int = MAX_SKETCH) -> DataFrame:
+    """The rows of docs that stay, one of each group, with all their columns."""
+    key, mark = fresh(docs, "dedup_id", "dedup_mark")
+    gone = groups(docs, max_bits, max_sketch).where("id <> group").select(F.col("id").alias(key), F.lit(0).alias(mark))
+    several = docs.select(F.col("doc_id").cast("long").alias(key)).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key, F.lit(1).alias(mark))
+    marks = gone.union(several).groupBy(key).agg(F.min(mark).alias(mark))
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).join(marks, key, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = [*(F.col(c) for c in ("text", "source", "lang", "n_chars") if c in docs.columns), F.to_json(F.struct(*columns))]
+    one = rows.where(F.col(mark) == 1).groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias(mark)).select(f"{mark}.*")
+    return rows.where(F.col(mark).isNull()).select(*columns).unionByName(one)
