@@ -13,9 +13,12 @@ every retry gets the same rows; the offset comes from a seed and the source.
 The weights are given as {source: integer}; without them (the setting used
 here) each source weighs the root of its characters, which flattens hot sources.
 
-A hot source is no bottleneck: prefix sums are made in blocks of ids (see
-ordered.py), so no task handles a source as a whole. Whole rows are shuffled
-once, by (source, block).
+A hot source is no bottleneck: prefix sums are made in blocks of (doc_id, length,
+hash of the text) (see ordered.py), so no task handles a source, or one doc_id, as
+a whole; only rows that are equal in all three are together. Whole rows are
+shuffled once, by (source, block).
+
+Given weights are whole numbers of at most 12 digits, or a ValueError says so.
 
 Defined results. Null sources are a source of their own. A source without a
 character is emitted once per document, as is one that weights leave at no size.
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, written
-from .ordered import block, block_width
+from .ordered import block, quantiles
 
 UNIT, SEED = 1_000_000, 17
 
@@ -40,9 +43,12 @@ def emissions(docs: DataFrame, weights: dict[str, int] | None = None, seed: int
     """docs, each row as often as it is emitted, and the name of an added column that counts a row's copies from 1."""
     src, blk, rate, start, rank, copy, has, size = fresh(docs, "mix_source", "mix_block", "mix_rate", "mix_start", "mix_rank", "mix_copy", "mix_has", "mix_size")
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    width = block_width(docs.select(id_))
+    keys = [id_.isNotNull().cast("long"), F.coalesce(id_, F.lit(0).cast("long")), F.coalesce(F.length(text), F.lit(-1)).cast("long"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))]
+    cuts = quantiles(docs.select(*(k.alias(f"k{n}") for n, k in enumerate(keys))))
+    if weights is not None and any(not 0 <= int(v) < 10**12 for v in weights.values()):
+        raise ValueError("weights must be from 0 to 12 digits")
     # a null source sorts with no other: real ones get a prefix
-    keyed = docs.withColumn(src, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).withColumn(blk, block("doc_id", width))
+    keyed = docs.withColumn(src, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).withColumn(blk, block(keys, cuts))
     sums = written(keyed.groupBy(src, blk).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length(text), F.lit(0))).cast("long").alias(size)), "sums")
     per = sums.groupBy(src).agg(F.sum(size).alias("size"))
     if weights is None:
