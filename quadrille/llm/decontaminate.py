@@ -11,13 +11,19 @@ other block moves it past the block at once. At a shift of zero the suffix
 hash bucket gives the test strings that may end there, and a direct comparison
 with the text confirms each.
 
-Test strings travel to the executors in parts of at most PART characters of
-items, one scan for each part, so their size never depends on trust.
+The test strings are made and made distinct by a job of their own. They travel to
+the executors in parts of about PART characters, cut by a hash of the string, one
+scan of the documents for each part: what is sent has a bound, and every string is
+looked for once, with all items that own it, so the parts never change a count.
 
 Defined results. Null and empty texts, and null or empty items, match nothing.
-Each input row is searched on its own: repeated rows give repeated results,
-null ids are handed on. Items with the same test string are all reported. An
-empty table on either side gives no rows. Other columns don't matter.
+occurrences() has a row for each doc_id and item_id that meet: rows that share a
+doc_id (or have none) are searched one by one and their counts added up; rows
+that share an item_id (or have none) are one item, whose test strings are those
+of all of them, each counted once. Items with the same test string are all
+reported. decontaminate() judges each row on its own. An empty table on either
+side gives no rows of occurrences. doc_id and item_id must be whole numbers or
+strings of one. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh
+from .common import WORD, forget, fresh, written
 
 WORDS, BLOCK = 13, 8
-#: Characters of items in one part.
-PART = 8_000_000
+#: Characters of test strings in one part, about.
+PART = 1 << 26
 
 
 def normal(text: str) -> str:
@@ -78,23 +84,32 @@ class WuManber:
         return found
 
 
-def parts(benchmark: DataFrame, part: int = PART) -> Iterator[list[tuple[int | None, str]]]:
-    """The items, a bounded number of characters at a time."""
+def _windows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = sorted(test_strings(t, words))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int64()), pa.array(own, pa.string())], ["i", "s"])
+
+    return run
+
+
+def parts(benchmark: DataFrame, words: int = WORDS, part: int = PART) -> Iterator[list[tuple[int | None, str]]]:
+    """(item, test string), a bounded number of characters at a time; all items of a string are in one part."""
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL")
-    n = -(-int(items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // part)
+    strings = written(items.mapInArrow(_windows(words), "i long, s string").distinct(), "strings")
+    n = -(-int(strings.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0]) // part)
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+        rows = strings.where(F.pmod(F.xxhash64("s"), F.lit(n)) == k).collect()
         if rows:
             yield [tuple(r) for r in rows]
+    forget(strings)
 
 
-def _scanner(spark: SparkSession, items: list[tuple[int | None, str]], words: int):
+def _scanner(spark: SparkSession, found: list[tuple[int | None, str]]):
     owners: dict[str, set[int | None]] = defaultdict(set)
-    for i, text in items:
-        for s in test_strings(text, words):
-            owners[s].add(i)
-    if not owners:
-        return None
+    for i, s in found:
+        owners[s].add(i)
     strings = sorted(owners)
     sent = spark.sparkContext.broadcast((strings, [sorted(owners[s], key=lambda i: (i is None, i)) for s in strings]))
     made: list[WuManber] = []
@@ -123,13 +138,11 @@ def _hit(find):
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, part: int = PART) -> DataFrame:
-    """(doc_id, item_id, n_windows) for each row of docs and each item of which it holds test strings; n_windows counts those."""
+    """(doc_id, item_id, n_windows) for each document and each item of which it holds test strings; n_windows counts those."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long")
-    for items in parts(benchmark, part):
-        find = _scanner(docs.sparkSession, items, words)
-        if find is None:
-            continue
+    for found in parts(benchmark, words, part):
+        find = _scanner(docs.sparkSession, found)
 
         def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -138,15 +151,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, part:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_windows"])
 
         out = out.union(rows.mapInArrow(run, "doc_id long, item_id long, n_windows long"))
-    return out
+    return out.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, part: int = PART) -> DataFrame:
     """The rows of docs that hold no test string of any item, with all their columns."""
     (mark,) = fresh(docs, "contaminated")
-    for items in parts(benchmark, part):
-        find = _scanner(docs.sparkSession, items, words)
-        if find is None:
-            continue
+    for found in parts(benchmark, words, part):
+        find = _scanner(docs.sparkSession, found)
         docs = docs.withColumn(mark, _hit(find)(F.col("text").cast("string"))).where(~F.col(mark)).drop(mark)
     return docs
