@@ -11,7 +11,8 @@ personal, -1 not, 0 no opinion:
 * context: words such as mail, call, card, token before the span, or version,
   license, page and the like;
 * border: what touches the span on either side;
-* size: the number of digits and characters its kind has;
+* size: the number of digits and characters its kind has (at most 80 characters of
+  an address or a key);
 * mix: variety of its characters (no single repeated digit, no mere sequence).
 
 Expectation-maximisation over the votes of all candidates (the counts of vote
@@ -23,6 +24,9 @@ separators, the characters beside it, the kind of word before it), fitted to
 the counts of all distinct feature sets; it, not the votes, decides: spans with
 a probability of at least LEAST are returned.
 
+Labelers and classifier see the whole span, 24 characters before it and 2 after it.
+Patterns never cross a line. Every search takes time in proportion to the text.
+
 Defined results. Null and empty texts have no span. Each row is searched on its
 own, repeated ones too; null doc_ids are handed on. Where candidates overlap,
 the first found by the order of the patterns stays. Without a candidate there
@@ -33,7 +37,7 @@ columns don't matter.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,16 +52,50 @@ LABELERS = ("regex", "gazetteer", "context", "border", "size", "mix")
 #: A key after its name, digits or not.
 _LABELLED = re.compile(r"(?:token|secret|passw(?:or)?d|passphrase|pwd|key)[\"']?[ \t]*(?:[:=]|\bis\b)[ \t]*[\"']?(?P<span>[A-Za-z0-9_+/-]{16,}={0,2})(?![A-Za-z0-9_])", re.I)
 _NAMES = ("token", "secret", "passw", "passphrase", "pwd", "key")
-#: Loose patterns in the order of precedence.
+_DOMAIN, _LOCAL = re.compile(r"@[\w-]+(?:\.[\w-]+)*"), re.compile(r"[\w.+%-]*")
+_RUN, _DIGIT, _LETTER = re.compile(r"[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_])"), re.compile("[0-9]"), re.compile("[A-Za-z]")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    r"""What ``[\w.+%-]+@[\w-]+(?:\.[\w-]+)*`` matches, found from the "@" on: a long run without one is read once."""
+    if "@" not in text:
+        return
+    back, n, end = text[::-1], len(text), 0
+    for m in _DOMAIN.finditer(text):
+        start = n - _LOCAL.match(back, n - m.start(), n - end).end()
+        if start < m.start():
+            end = m.end()
+            yield start, start + len(text[start:end].rstrip(".-"))
+
+
+def _keys(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of 16 or more of a key's characters with a digit and a letter, and up to two "="."""
+    for m in _RUN.finditer(text):
+        if _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+            yield m.span()
+
+
+def _named_keys(text: str) -> Iterator[tuple[int, int]]:
+    if _named(text):
+        for m in _LABELLED.finditer(text):
+            yield m.span("span")
+
+
+def _spans(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
+    find = re.compile(pattern).finditer
+    return lambda text: (m.span() for m in find(text))
+
+
+#: Loose finders in the order of precedence.
 _LOOSE = [
-    ("email", re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_])")),
-    ("secret", _LABELLED),
-    ("phone", re.compile(r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4})?(?![\w])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")),
-    ("card", re.compile(r"(?<![\w.-])[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?(?![\w-])|(?<![\w.-])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![\w-])")),
-    ("ip", re.compile(r"(?<![\w.-])[0-9]+(?:\.[0-9]+)+(?![\w-])")),
-    ("national_id", re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("card", re.compile(r"(?<![\w.-])[0-9]+(?![\w-])(?!\.[0-9])")),
+    ("email", _emails),
+    ("secret", _keys),
+    ("secret", _named_keys),
+    ("phone", _spans(r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4})?(?![\w])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")),
+    ("card", _spans(r"(?<![\w.-])[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?(?![\w-])|(?<![\w.-])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![\w-])")),
+    ("ip", _spans(r"(?<![\w.-])[0-9]+(?:\.[0-9]+)+(?![\w-])")),
+    ("national_id", _spans(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("card", _spans(r"(?<![\w.-])[0-9]+(?![\w-])(?!\.[0-9])")),
 ]
 KINDS = ("card", "email", "ip", "national_id", "phone", "secret")
 _STRICT = {
@@ -68,7 +106,12 @@ _STRICT = {
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"),
     "national_id": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
 }
-_TLDS = {"com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "co", "us", "it", "nl", "ch", "at", "ca", "jp", "cn", "in", "br", "ru"}
+_TLDS = set(
+    "com org net edu gov mil int io info biz name pro app dev ai co me tv cc xyz online site shop tech cloud blog "
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cd cf cg ch ci ck cl cm cn cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu "
+    "id ie il im in iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw "
+    "sa sb sc sd se sg sh si sk sl sm sn so sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
 _CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "351", "352", "353", "358", "420", "421"}
 _NEAR = re.compile(r"(mail|phone|tel|call|fax|mobile|card|visa|credit|address|\bip\b|host|server|token|secret|passw|pwd|\bkey|api|ssn|social|account)\W*(?:is|no|number|=|:)?\W*$", re.I)
 _AWAY = re.compile(r"(version|licen[sc]e|\bv|page|chapter|section|figure|fig|table|vol|no|release|by(?:-[a-z]+)*|isbn|year)\W*$", re.I)
@@ -137,16 +180,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each candidate of a text, without overlaps."""
     found: list[tuple[str, int, int]] = []
     taken = np.zeros(0, bool)
-    named = _named(text)
-    for kind, pattern in _LOOSE:
-        if kind == "email" and "@" not in text:
-            continue
-        if pattern is _LABELLED and not named:
-            continue
-        for m in pattern.finditer(text):
-            a, b = m.span("span") if pattern is _LABELLED else m.span()
-            if kind == "email":
-                b = a + len(m[0].rstrip(".-"))
+    for kind, find in _LOOSE:
+        for a, b in find(text):
             if not len(taken):
                 taken = np.zeros(len(text), bool)
             if not taken[a:b].any():
@@ -156,7 +191,6 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 
 _LOOK = re.compile(r"[0-9@]")
-_PIECE, _LINE = re.compile(r"[^\n]*[0-9@][^\n]*"), re.compile(r"[^\n]+")
 _SCHEMA = "doc_id long, kind string, span_start int, span_end int, span string, votes array<int>, cells array<int>"
 
 
@@ -164,14 +198,17 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            labelled = bool(text) and _named(text) and _LABELLED.search(text)
+            labelled = bool(text) and _named(text) and bool(_LABELLED.search(text))
             if not text or not labelled and not _LOOK.search(text):
                 continue
-            for line in (_LINE if labelled else _PIECE).finditer(text):  # no pattern crosses a line
-                at, own = line.start(), line[0]
+            at = -1
+            for own in text.split("\n"):  # no pattern crosses a line
+                at, start = at + len(own) + 1, at + 1
+                if not labelled and not _LOOK.search(own):
+                    continue
                 for kind, a, b in candidates(own):
                     span, left, right = own[a:b], own[max(0, a - 24) : a], own[b : b + 2]
-                    out.append((doc, kind, at + a, at + b, span, votes(kind, span, left, right), features(kind, span, left, right)))
+                    out.append((doc, kind, start + a, start + b, span, votes(kind, span, left, right), features(kind, span, left, right)))
         cols = list(zip(*out)) or [()] * 7
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "kind", "span_start", "span_end", "span", "votes", "cells"])
