@@ -10,14 +10,15 @@ grade and the tail probability P(grade = top), by which documents are selected.
 Features, each present or not: the words and symbol runs in lower case, their
 first and last EDGE characters, and the bands in which the text's repetition (commonest word's share, distinct share),
 capitals, symbols and length fall; all hashed into DIM cells. Whole texts are
-read. Only telling cells get a weight: for each grade but the last the MOST cells
-that best tell it from the grades above it, by SCREEN standard errors at least
-and in MIN_DOCS training documents at least. Of training documents that look
-like copies one is used.
+read. Only telling cells get a weight: for each grade but the last the ``most`` cells
+that best tell it from the grades above it, by ``screen`` standard errors at least
+and in ``min_docs`` training documents at least. Of training documents that share
+``same`` of their uncommon cells one is used. These four are arguments of train():
+they shape the model, and no document is left unscored by them.
 
 The fit reads at most ``max_labels`` labelled documents (a documented bound:
-those with the least hash of their doc_id), so what is broadcast and collected
-for it is bounded. Everything else, the scoring, covers every row. Fit and
+those with the least hash of their doc_id, one text each, the least of its rows),
+so what is broadcast and collected for it is bounded. Everything else, the scoring, covers every row. Fit and
 scoring have no random part: the same input gives the same model.
 
 Defined results. A null text scores as an empty one. Rows are scored one by one,
@@ -102,7 +103,7 @@ class Featuriser:
         return np.sort(np.fromiter(cells, np.int64, len(cells)))
 
 
-def unlike(cells: list[np.ndarray]) -> list[int]:
+def unlike(cells: list[np.ndarray], same: float = SAME) -> list[int]:
     """Those that don't share SAME of their uncommon cells with one document before: copies would make their own words look telling."""
     held = np.bincount(np.concatenate(cells), minlength=DIM)
     owner = np.full(DIM, -1, np.int64)
@@ -111,14 +112,14 @@ def unlike(cells: list[np.ndarray]) -> list[int]:
         own = own[held[own] <= max(2, len(cells) // 10)]
         before = owner[own]
         before, new = before[before >= 0], own[before < 0]
-        if len(before) and np.bincount(before).max() >= SAME * len(own):
+        if len(before) and np.bincount(before).max() >= same * len(own):
             continue
         owner[new] = len(out)
         out.append(n)
     return out
 
 
-def telling(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray) -> np.ndarray:
+def telling(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, most: int = MOST, screen: float = SCREEN, min_docs: int = MIN_DOCS) -> np.ndarray:
     """The cells that get a weight: for each grade but the last, those that best tell it from the grades above it."""
     out: set[int] = set()
     for k in range(GRADES - 1):
@@ -129,21 +130,45 @@ def telling(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray) -> np.ndarr
         n = max(1, len(above))
         trend = np.bincount(own, np.repeat(above - above.mean() if n else above, sizes[rows]), DIM)
         trend = np.abs(trend) / np.sqrt(np.maximum(held * (1 - held / n), 1)) / max(above.std(), 1e-9)
-        trend[held < MIN_DOCS] = 0
-        best = np.argsort(-trend, kind="stable")[:MOST]
-        out.update(best[trend[best] >= SCREEN].tolist())
+        trend[held < min_docs] = 0
+        best = np.argsort(-trend, kind="stable")[:most]
+        out.update(best[trend[best] >= screen].tolist())
     return np.array(sorted(out), np.int64)
 
 
-def fit(cells: list[np.ndarray], grades: np.ndarray) -> Model:
+def thresholds(x: np.ndarray, d: int) -> np.ndarray:
+    """Of the parameters: d weights, the first threshold, logs of the gaps to the others."""
+    return x[d] + np.r_[0, np.cumsum(np.exp(x[d + 1 :]))]
+
+
+def gradient(x: np.ndarray, row: np.ndarray, col: np.ndarray, grades: np.ndarray, d: int) -> np.ndarray:
+    """That of the mean negative log-likelihood; (row, col) are the documents and the weights of their cells."""
+    n, k = len(grades), len(x) - d
+    theta = thresholds(x, d)
+    score = np.bincount(row, x[col], n)
+    below = np.pad(1 / (1 + np.exp(-np.clip(theta[None, :] - score[:, None], -40, 40))), ((0, 0), (1, 1)), constant_values=(0.0, 1.0))
+    a, b = below[np.arange(n), grades + 1], below[np.arange(n), grades]
+    p = np.maximum(a - b, 1e-12)
+    slope = (1 - a - b) / n  # of the loss, with the score
+    g = np.empty_like(x)
+    g[:d] = np.bincount(col, slope[row], d)
+    gt = np.zeros(k)
+    for j in range(k):
+        gt[j] = (-(a * (1 - a) / p)[grades == j].sum() + (b * (1 - b) / p)[grades == j + 1].sum()) / n
+    g[d] = gt.sum()
+    g[d + 1 :] = np.cumsum(gt[::-1])[::-1][1:] * np.exp(x[d + 1 :])
+    return g
+
+
+def fit(cells: list[np.ndarray], grades: np.ndarray, most: int = MOST, screen: float = SCREEN, min_docs: int = MIN_DOCS, same: float = SAME) -> Model:
     """Maximum likelihood with a light lasso, by full-batch Adam, over one document of each group of likely copies."""
     model = unfitted()
     if not len(cells):
         return model
-    first = unlike(cells)
+    first = unlike(cells, same)
     cells, grades = [cells[i] for i in first], grades[first]
     flat, sizes = np.concatenate(cells), np.fromiter(map(len, cells), np.int64, len(cells))
-    used = telling(flat, sizes, grades)
+    used = telling(flat, sizes, grades, most, screen, min_docs)
     to = np.full(DIM, -1, np.int64)
     to[used] = np.arange(len(used))
     row, col = np.repeat(np.arange(len(cells)), sizes), to[flat]
@@ -151,29 +176,17 @@ def fit(cells: list[np.ndarray], grades: np.ndarray) -> Model:
     n, d, k = len(cells), len(used), GRADES - 1
     share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-4, 1 - 1e-4)
     edge = np.log(share / (1 - share))
-    x = np.zeros(d + k)  # weights, first threshold, logs of the gaps
+    x = np.zeros(d + k)
     x[d], x[d + 1 :] = edge[0], np.log(np.maximum(np.diff(edge), 0.1))
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, STEPS + 1):
-        theta = x[d] + np.r_[0, np.cumsum(np.exp(x[d + 1 :]))]
-        score = np.bincount(row, x[col], n)
-        below = np.pad(1 / (1 + np.exp(-np.clip(theta[None, :] - score[:, None], -40, 40))), ((0, 0), (1, 1)), constant_values=(0.0, 1.0))
-        a, b = below[np.arange(n), grades + 1], below[np.arange(n), grades]
-        p = np.maximum(a - b, 1e-12)
-        slope = (1 - a - b) / n  # of the loss, with the score
-        g = np.empty_like(x)
-        g[:d] = np.bincount(col, slope[row], d)
-        gt = np.zeros(k)
-        for j in range(k):
-            gt[j] = (-(a * (1 - a) / p)[grades == j].sum() + (b * (1 - b) / p)[grades == j + 1].sum()) / n
-        g[d] = gt.sum()
-        g[d + 1 :] = np.cumsum(gt[::-1])[::-1][1:] * np.exp(x[d + 1 :])
+        g = gradient(x, row, col, grades, d)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         rate = RATE * min(1, 2 - 2 * step / STEPS) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         x -= rate * m / (1 - 0.9**step)
         x[:d] = np.sign(x[:d]) * np.maximum(np.abs(x[:d]) - rate[:d] * LASSO, 0)
     model.weights[used] = x[:d]
-    model.thresholds = x[d] + np.r_[0, np.cumsum(np.exp(x[d + 1 :]))]
+    model.thresholds = thresholds(x, d)
     model.fitted = True
     return model
 
@@ -192,11 +205,12 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["grade", "cells"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, most: int = MOST, screen: float = SCREEN, min_docs: int = MIN_DOCS, same: float = SAME) -> Model:
     """The model of the labelled documents."""
     chosen = grades(labels).orderBy(F.xxhash64("label_id"), "label_id").limit(max_labels)
     # at most max_labels rows of 12 bytes: a bounded broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "label_id")
+    rows = rows.groupBy("label_id", "grade").agg(F.min("text").alias("text"))  # one row a label, however often an id comes
     got = rows.select("grade", "text").mapInArrow(_cells, "grade int, cells array<int>").toArrow()
     cells = got.column("cells").combine_chunks()
     offsets, flat = cells.offsets.to_numpy(), cells.values.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -204,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
     # in an order of their own, so that sums don't depend on the tasks' order
     order = sorted(range(len(parts)), key=lambda i: (len(parts[i]), parts[i].tobytes()))
     grade = got.column("grade").to_numpy().astype(np.int64)
-    return fit([parts[i] for i in order], grade[order])
+    return fit([parts[i] for i in order], grade[order], most, screen, min_docs, same)
 
 
 def _scorer(docs: DataFrame, model: Model):
