@@ -5,8 +5,8 @@ gathered by pre-token (which documents hold it how often, as packed integers),
 so a frequent pre-token is one row per batch and not one per document. The
 distinct pre-tokens of the corpus are tokenised once each, their piece counts
 are joined to the frequencies by pre-token, and the products are summed: first
-per batch within each partition of the join, then per document. No list of ids
-is ever made.
+per batch within each partition of the join, sorted by batch so that a task holds
+the sums of one batch at a time, then per document. No list of ids is ever made.
 
 Defined results. One row per input row, repeated ones too; null doc_ids are
 handed on. Null and empty texts have 0 tokens. An empty table gives no rows. A
@@ -140,25 +140,36 @@ def _task() -> int:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of pieces x frequency by batch and position, over one partition of the join; doc_ids pass."""
-    sums: dict[int, np.ndarray] = {}
+    """Sums of pieces x frequency by batch and position, over one partition of the join, which is sorted by batch; doc_ids pass."""
     names = ["batch", "ids", "sums"]
+    now, held = None, np.zeros(BATCH)
+
+    def result() -> pa.RecordBatch:
+        at = np.flatnonzero(held)
+        packed = at.astype("<u2").tobytes() + held[at].astype("<u4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([None], pa.binary()), pa.array([packed], pa.binary())], names)
+
     for batch in batches:
         other = pc.is_null(batch.column(2))
         own = batch.filter(other)
         if own.num_rows:
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1).cast(pa.binary()), pa.nulls(own.num_rows, pa.binary())], names)
         rest = batch.filter(pc.invert(other))
-        uids, n = rest.column(0).to_numpy(), rest.column(2).to_numpy()
-        which, text, often = _unpack(rest.column(1).to_pylist())
-        names_, at = np.unique(uids, return_inverse=True)
-        flat = np.bincount(at[which] * BATCH + text, often * n[which], len(names_) * BATCH).reshape(-1, BATCH)
-        for uid, got in zip(names_.tolist(), flat):
-            sums[uid] = sums[uid] + got if uid in sums else got
-    for uid, s in sums.items():
-        at = np.flatnonzero(s)
-        packed = np.stack([at, s[at].astype(np.int64)], 1).astype("<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([None], pa.binary()), pa.array([packed], pa.binary())], names)
+        uids, n, data = rest.column(0).to_numpy(), rest.column(2).to_numpy(), rest.column(1)
+        starts = np.r_[np.flatnonzero(np.r_[True, uids[1:] != uids[:-1]]), len(uids)] if len(uids) else np.zeros(1, int)
+        for first in range(0, len(starts) - 1, 32):
+            edges = starts[first : first + 33]
+            a, b = int(edges[0]), int(edges[-1])
+            which, text, often = _unpack(data.slice(a, b - a).to_pylist())
+            run = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            sums = np.bincount(run[which] * BATCH + text, often * n[a:b][which], (len(edges) - 1) * BATCH).reshape(-1, BATCH)
+            for uid, got in zip(uids[edges[:-1]].tolist(), sums):
+                if uid != now and now is not None:
+                    yield result()
+                    held = np.zeros(BATCH)
+                now, held = uid, held + got
+    if now is not None:
+        yield result()
 
 
 def _total(group: pa.Table) -> pa.Table:
@@ -167,8 +178,8 @@ def _total(group: pa.Table) -> pa.Table:
     sums = np.zeros(n, np.int64)
     for s in group.column("sums").to_pylist():
         if s:
-            pairs = np.frombuffer(s, "<i8").reshape(-1, 2)
-            sums[pairs[:, 0]] += pairs[:, 1]
+            k = len(s) // 6
+            sums[np.frombuffer(s, "<u2", k)] += np.frombuffer(s, "<u4", k, 2 * k)
     lost = np.frombuffer(ids, bool, n, 8 * n)
     return pa.table({"doc_id": pa.array(np.frombuffer(ids, "<i8", n), pa.int64(), mask=lost), "n_tokens": pa.array(sums, pa.int64())})
 
@@ -177,6 +188,6 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens) of each row."""
     counted = distinct_pretokens(docs).mapInArrow(_count(vocabulary), "piece string, n long")
     frequencies = _rows(docs).mapInArrow(_frequencies, "batch long, piece string, data binary")
-    joined = frequencies.join(counted, "piece", "left").select("batch", "data", "n")
+    joined = frequencies.join(counted, "piece", "left").select("batch", "data", "n").sortWithinPartitions("batch")
     partial = joined.mapInArrow(_partial, "batch long, ids binary, sums binary")
     return partial.groupBy("batch").applyInArrow(_total, "doc_id long, n_tokens long")
