@@ -2,15 +2,19 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import decontaminate, mixing, ordinal, pii, quality, sharding, simhash, token_counts, token_ids, urlfilter
+from quadrille.llm import decontaminate, mixing, ordered, ordinal, pii, quality, sharding, simhash, token_counts, token_ids, urlfilter
 from quadrille.llm.pretokens import encoding
 from quadrille.llm.queries import vocabulary
 
@@ -189,8 +193,102 @@ def test_personal_data_is_found_and_clean_text_left(spark, odd, empty):
     texts = dict(rows)
     assert all(texts[r.doc_id][r.span_start : r.span_end] == r.span for r in found)
     assert len(got & true) >= 0.95 * len(true) and len(got - true) <= 0.05 * len(true)
-    pii.spans(odd).collect()
-    assert pii.spans(empty).count() == 0
+    assert pii.spans(odd).count() == 0 and pii.spans(empty).count() == 0
+    assert found[0].asDict().keys() == {"doc_id", "kind", "span_start", "span_end", "span", "probability"}
+
+
+#: What the finders must find, as patterns that are slow on long texts.
+SLOW = {
+    "email": re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_])"),
+}
+
+
+def test_finders_find_what_their_patterns_do():
+    rng = random.Random(41)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "B", "7", "@", ".", "-", "_", "=", " ", "/", "é", "abcdefgh1234567", "x@y.z"]) for _ in range(rng.randrange(30)))
+        assert list(pii._emails(text)) == [(m.start(), m.start() + len(m[0].rstrip(".-"))) for m in SLOW["email"].finditer(text)], text
+        assert list(pii._keys(text)) == [m.span() for m in SLOW["secret"].finditer(text)], text
+
+
+def test_long_lines_take_time_in_proportion():
+    def took(text):
+        start = time.process_time()
+        list(pii._find(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])])))
+        return time.process_time() - start
+
+    makers = [lambda n: "word " * (n // 5), lambda n: "w" * n + "@mail.com", lambda n: "w" * n, lambda n: "ab-" * (n // 3) + "1", lambda n: "1" * n, lambda n: "1." * (n // 2) + "x", lambda n: "a@" * (n // 2), lambda n: "key " * (n // 4) + "1", lambda n: "+1 " * (n // 3)]
+    took("warm up 1")
+    for make in makers:
+        assert took(make(200_000)) < 9 * took(make(50_000)) + 0.3, make(20)  # four times the text; of a square it were sixteen
+    for make in makers[:4]:
+        assert took(make(1_000_000)) < 5, make(20)
+
+
+def test_spans_of_all_kinds_are_those_of_plain_loops(spark):
+    rng = random.Random(43)
+    true = {
+        "email": lambda: f"{rng.choice(['ann', 'bo.b', 'c_d'])}{rng.randrange(99)}@site{rng.randrange(9)}.{rng.choice(['com', 'pl', 'au'])}",
+        "phone": lambda: f"+{rng.choice([1, 44, 49])} {rng.randrange(200, 999)} {rng.randrange(200, 999)} {rng.randrange(1000, 9999)}",
+        "card": lambda: " ".join(str(rng.choice([4, 5]) * 1000 + rng.randrange(999)) for _ in range(4)),
+        "ip": lambda: f"{rng.randrange(20, 99)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(1, 255)}",
+        "national_id": lambda: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "secret": lambda: "".join(rng.choices("abcdefXYZ0123456789", k=31)) + "a1",
+    }
+    named = {"email": "mail", "phone": "call", "card": "card", "ip": "host", "national_id": "ssn", "secret": "token"}
+    rows, want = [(900, None), (901, ""), (None, "mail me at null@id.com")], set()
+    for i in range(360):
+        text = words(rng, 8)
+        if i % 2:
+            kind = list(true)[i // 2 % 6]
+            span = true[kind]()
+            text += f" {named[kind]}: {span} and\n{words(rng, 3)}"
+            want.add((i, kind, span))
+        else:
+            text += rng.choice([f" version {rng.randrange(9)}.{rng.randrange(9)}", f" page {rng.randrange(900)}", f" in {rng.randrange(1900, 2020)}", " user@host"])
+        rows.append((i, text))
+    rows += rows[-1:]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, kind int, SPAN string")
+    got = [tuple(r) for r in pii.spans(docs).collect()]
+    # the same by plain loops: candidates line by line, EM and regression over each candidate by itself
+    found = []
+    for d, t in rows:
+        at = 0
+        for line in (t or "").split("\n"):
+            for kind, a, b in pii.candidates(line):
+                own = line[a:b], line[max(0, a - 24) : a], line[b : b + 2]
+                found.append((d, kind, at + a, at + b, own[0], pii.votes(kind, *own), pii.features(kind, *own)))
+            at += len(line) + 1
+    p = [min(0.98, max(0.02, 0.5 + sum(f[5]) / 12)) for f in found]
+    names = sorted({f[1] for f in found})
+    for _ in range(pii.ROUNDS):
+        rate = {}
+        for j in range(6):
+            for truth in (0, 1):
+                n = [1 + sum((q if truth else 1 - q) for f, q in zip(found, p) if f[5][j] == v) for v in (-1, 0, 1)]
+                rate |= {(j, truth, v): x / sum(n) for v, x in zip((-1, 0, 1), n)}
+        prior = {k: (1 + sum(q for f, q in zip(found, p) if f[1] == k)) / (2 + sum(f[1] == k for f in found)) for k in names}
+        odds = [math.log(prior[f[1]] / (1 - prior[f[1]])) + sum(math.log(rate[j, 1, f[5][j]] / rate[j, 0, f[5][j]]) for j in range(6)) for f in found]
+        p = [1 / (1 + math.exp(-max(-30, min(30, o)))) for o in odds]
+    w, m, v = ([0.0] * int(pii._STARTS[-1]) for _ in range(3))
+    for step in range(1, pii.STEPS + 1):
+        g = [1e-5 * x for x in w]
+        for f, q in zip(found, p):
+            e = (1 / (1 + math.exp(-sum(w[c] for c in f[6]))) - q) / len(found)
+            for c in f[6]:
+                g[c] += e
+        for i, x in enumerate(g):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * x, 0.99 * v[i] + 0.01 * x * x
+            w[i] -= 0.1 * (m[i] / (1 - 0.9**step)) / (math.sqrt(v[i] / (1 - 0.99**step)) + 1e-10)
+    brute = [(*f[:5], 1 / (1 + math.exp(-sum(w[c] for c in f[6])))) for f in found]
+    key = lambda r: tuple(map(str, r[:5]))
+    brute = sorted((r for r in brute if r[5] >= pii.LEAST), key=key)
+    assert [r[:5] for r in sorted(got, key=key)] == [r[:5] for r in brute]
+    assert all(abs(a[5] - b[5]) < 1e-4 for a, b in zip(sorted(got, key=key), brute))
+    spans = {(r[0], r[1], r[4]) for r in got}
+    assert len(spans & want) >= 0.95 * len(want) and sum(s[2] == "null@id.com" for s in spans) == 1
+    assert len({s for s in spans if s[0] is not None} - want) <= 5
 
 
 def test_candidates_of_long_addresses_grouped_cards_and_named_keys(spark):
@@ -238,6 +336,61 @@ def test_ordinal_classifier_on_held_out_documents(spark, odd, empty):
     assert not ordinal.train(odd, known.where("doc_id < 0")).fitted
 
 
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    n, d = 40, 6
+    pairs = [(i, c) for i in range(n) for c in range(d) if rng.random() < 0.4]
+    row, col = np.array(pairs).T
+    grades = rng.integers(0, ordinal.GRADES, n)
+
+    def loss(x):
+        first, second = x[d], x[d] + math.exp(x[d + 1])
+        total = 0.0
+        for i in range(n):
+            score = sum(x[c] for r, c in pairs if r == i)
+            below = [0.0, 1 / (1 + math.exp(score - first)), 1 / (1 + math.exp(score - second)), 1.0]
+            total -= math.log(below[grades[i] + 1] - below[grades[i]])
+        return total / n
+
+    x = rng.normal(size=d + 2) * 0.5
+    g = ordinal.gradient(x, row, col, grades, d)
+    for i in range(d + 2):
+        up, down = x.copy(), x.copy()
+        up[i], down[i] = x[i] + 1e-5, x[i] - 1e-5
+        assert abs((loss(up) - loss(down)) / 2e-5 - g[i]) < 1e-6
+
+
+def test_scores_are_those_of_plain_loops(spark, odd):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'vile'} text number {i}") for i in range(60)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(60)] + [(1, 1, None), (None, 1, 0), (3, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    model = ordinal.train(docs, known, screen=2.0)
+    assert model.weights.any()
+    features = ordinal.Featuriser()
+    want = []
+    for i, t, *_ in ODD:
+        s = sum(float(model.weights[c]) for c in features(t))
+        below = [0.0, *(1 / (1 + math.exp(s - x)) for x in model.thresholds), 1.0]
+        p = [b - a for a, b in zip(below, below[1:])]
+        want.append((str(i), round(sum(k * q for k, q in enumerate(p)), 4), round(p[-1], 4), p[-1] >= ordinal.LEAST))
+    got = [(str(r.doc_id), round(r.expected_grade, 4), round(r.p_top, 4), r.keep) for r in ordinal.score(odd, model).collect()]
+    assert sorted(got) == [(i, pytest.approx(e, abs=2e-4), pytest.approx(t, abs=2e-4), k) for i, e, t, k in sorted(want)]
+
+
+def test_labels_are_bounded_and_of_repeats_the_lowest_counts(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 1, 0), (3, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, ordinal.grades(known).collect())) == [(1, 0), (2, 1), (3, 2)]
+    seen = []
+    fit = ordinal.fit
+    try:
+        ordinal.fit = lambda cells, grades, *rest: seen.append(sorted(grades.tolist())) or fit(cells, grades, *rest)
+        ordinal.train(docs, known)
+        ordinal.train(docs, known, max_labels=2)
+    finally:
+        ordinal.fit = fit
+    assert seen[0] == [0, 1, 2] and len(seen[1]) == 2
+
+
 def test_few_labels_without_a_telling_word_still_decide(spark):
     docs = spark.createDataFrame([(i, f"text {i} of its own kind {i * i}") for i in range(12)], "doc_id long, text string")
     for toxic, kept in ((3, 0), (1, 12)):
@@ -286,7 +439,31 @@ def test_token_ids_and_counts_are_those_of_the_tokenizer(spark, odd, empty, tmp_
         assert counts[i] == len(want or [])
         assert t is None or enc.decode(got[i].token_ids) == t
     assert token_ids.token_table(odd, vocabulary()).count() == len(ODD) and token_ids.token_table(empty, vocabulary()).count() == 0
-    assert token_counts.token_counts(odd, vocabulary()).count() == len(ODD) and token_counts.token_counts(empty, vocabulary()).count() == 0
+    want = sorted((str(i), len(enc.encode_ordinary(t or ""))) for i, t, *_ in ODD)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in token_counts.token_counts(odd, vocabulary()).collect()) == want
+    assert token_counts.token_counts(empty, vocabulary()).count() == 0
+
+
+def test_counts_of_many_small_batches(spark, monkeypatch):
+    """Sums are held for one batch at a time, however many batches a partition of the join has."""
+    rng = np.random.default_rng(5)
+    made = []
+    for uid in range(700):
+        text, often = rng.integers(0, 50, 4), rng.integers(1, 9, 4)
+        _, cell = token_counts._pack(np.zeros(4, int), text, often, 1)
+        made.append((uid, cell.tobytes(), int(rng.integers(1, 5)), text, often))
+    want = {u: np.bincount(t, o * n, 50).tolist() for u, _, n, t, o in made}
+    rows = [r[:3] for r in made] + [(5, b"ids", None)]
+    rows.sort(key=lambda r: r[0])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 90]), (pa.int64(), pa.binary(), pa.int64()))], ["batch", "data", "n"]) for a in range(0, len(rows), 90)]
+    out = [r for b in token_counts._partial(iter(batches)) for r in b.to_pylist()]
+    assert [r["ids"] for r in out if r["ids"]] == [b"ids"] and sum(r["sums"] is not None for r in out) == 700
+    for r in out:
+        if r["sums"] is not None:
+            k = len(r["sums"]) // 6
+            got = np.zeros(50)
+            got[np.frombuffer(r["sums"], "<u2", k)] = np.frombuffer(r["sums"], "<u4", k, 2 * k)
+            assert got.tolist() == want[r["batch"]]
 
 
 def test_token_table_has_the_layout(spark, tmp_path):
@@ -320,14 +497,36 @@ def test_occurrences_are_those_of_brute_force(spark, odd, empty):
                 want.add((d, i, n))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert len(want) >= 15
-    for part in (decontaminate.PART, 300):  # in many parts as in one
+    for part in (decontaminate.PART, 3000):  # in many parts as in one
         assert {tuple(r) for r in decontaminate.occurrences(df, bench, part=part).collect()} == want
         assert {r.doc_id for r in decontaminate.decontaminate(df, bench, part=part).collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
     assert decontaminate.decontaminate(odd, bench).columns == odd.columns and decontaminate.decontaminate(odd, bench).count() == len(ODD)
     assert decontaminate.occurrences(empty, bench).count() == 0 and decontaminate.occurrences(df, bench.limit(0)).count() == 0
 
 
+def test_items_of_several_texts_are_counted_once_at_any_part(spark):
+    a, b = "one two three four five", "six seven eight nine ten"
+    bench = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (None, b), (None, "zz")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"x {a} y {b}"), (8, b), (8, b), (None, a), (None, "zz"), (9, None)], "doc_id long, text string")
+    want = {(7, 1, 2), (7, 2, 1), (7, None, 1), (8, 1, 2), (8, None, 2), (None, 1, 1), (None, 2, 1), (None, None, 1)}
+    for part in (1, 4, 40, decontaminate.PART):
+        got = [tuple(r) for r in decontaminate.occurrences(docs, bench, part=part).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert [r.doc_id for r in decontaminate.decontaminate(docs, bench, part=part).collect()] == [9]
+
+
 # 8
+def test_long_urls_take_little_time(spark):
+    urls = ["http://a.org/" + "d/" * 50_000, "http://" + "l." * 50_000 + "a.org/x/y", "http://b.a.org/" + "q" * 100_000 + "?" * 50_000, "http://c.org/" + "." * 100_000, "http://x" + "." * 100_000 + "y/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame([("a.org/", "block"), ("b.a.org/" + "q" * 100_000, "allow"), ("a.org/d/d/d/", "allow"), ("l.l.a.org/x/", "allow"), ("c.org/x/y/", "block")], "expression string, action string")
+    urlfilter.match(pages.limit(1), rules).collect()
+    start = time.perf_counter()
+    got = {r.page_id: r.action for r in urlfilter.match(pages, rules).collect()}
+    assert got == dict(enumerate(["allow", "allow", "allow", "allow", "allow"])) and time.perf_counter() - start < 30
+    assert {r.page_id for r in urlfilter.match(pages, rules.where("action = 'block'")).where("action = 'block'").collect()} == {0, 1, 2}
+
+
 def test_url_rules(spark):
     rules = [("a.example.org/", "block"), ("a.example.org/ok/", "allow"), ("b.a.example.org/ok/", "block"), ("10.0.0.1/", "block"), ("c.org/p?q=1", "block"), ("c.org/p", "allow"), ("d.org/", "block"), ("d.org/", "allow"), (None, "block"), ("e.org/", "other")]
     cases = {
@@ -372,6 +571,51 @@ def test_shards_have_the_least_capacity(spark, seed):
     assert max(load) == best_capacity([sizes[i] for i in sorted(sizes)], 7)
 
 
+EDGES = [-(2**63), 2**63 - 1, 2**61, 2**62, -1, 0, 1]
+
+
+def loads(docs, shards):
+    got = {r.doc_id: r for r in sharding.plan(docs, shards).collect()}
+    order = sorted(got, key=lambda i: (i is not None, i or 0))
+    assert [got[i].shard_id for i in order] == sorted(r.shard_id for r in got.values())
+    load = {}
+    for r in got.values():
+        load[r.shard_id] = load.get(r.shard_id, 0) + r.n_chars
+    return max(load.values()), [got[i].n_chars for i in order], len(load)
+
+
+def test_shards_of_ids_of_64_bits_and_of_clustered_ids(spark, monkeypatch):
+    for rows in ([(i, "x" * (k + 1)) for k, i in enumerate(EDGES)], [(1, "a"), (2**63 - 1, "b")], [(2**61, "a"), (2**62, "b")]):
+        most, sizes, n = loads(spark.createDataFrame(rows, "doc_id long, text string"), 3)
+        assert most == best_capacity(sizes, 3) and n <= 3
+    monkeypatch.setattr(sharding, "LEAF", 16)
+    monkeypatch.setattr("quadrille.llm.ordered.ROWS", 64)
+    monkeypatch.setattr(ordered.quantiles, "__defaults__", (64,))
+    rng = random.Random(31)
+    rows = [(i * rng.choice([1, 1, 1, 10**15]), "x" * rng.choice([0, 1, 7, 30])) for i in range(1500)] + [(5, "y" * 60_000), (None, "z"), (None, "zz")]
+    for shards in (1, 7, 64, 900):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        most, sizes, n = loads(docs, shards)
+        assert most == best_capacity(sizes, shards) and n <= shards
+
+
+def test_few_rows_come_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAF", 32)
+    monkeypatch.setattr(ordered.quantiles, "__defaults__", (512,))
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 9000, F.repeat(F.lit("x"), 2_000_000)).otherwise(F.repeat(F.lit("y"), (F.col("id") % 13 + 1).cast("int"))).alias("text"))
+    read = []
+    load = sharding.Prefixes.load
+
+    def spy(self, targets):
+        before = set(self.held)
+        load(self, targets)
+        read.append(sum(len(v) for k, v in self.held.items() if k not in before))
+
+    monkeypatch.setattr(sharding.Prefixes, "load", spy)
+    most, sizes, _ = loads(df, 16)
+    assert most == 2_000_000 and sum(read) <= 16 * 32 * 6
+
+
 def test_shards_of_odd_rows(odd, empty):
     assert sharding.assign(odd, 3).count() == len(ODD) and sharding.assign(odd, 3).columns == odd.columns
     assert sharding.plan(odd, 3).count() == 7 and sharding.plan(empty).count() == 0
@@ -405,6 +649,33 @@ def test_mixing_is_that_of_brute_force(spark):
     assert got == {i: n for i, n in brute_copies(rows).items() if n}
 
 
+def test_mixing_of_ids_of_64_bits_and_of_one_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(ordered.quantiles, "__defaults__", (16,))
+    rng = random.Random(37)
+    rows = [(i, "x" * rng.randrange(1, 50), rng.choice(["a", "b"])) for i in {*EDGES, *rng.sample(range(2**62, 2**62 + 10**6), 150), *(k * 2**40 for k in range(2, 90))}]
+    got = {}
+    for r in mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {i: n for i, n in brute_copies(rows).items() if n}
+    hot = [(None, f"{k:03}" + "y" * (k % 9), "a") for k in range(300)] + [(k, "z" * 5, "b") for k in range(100)]
+    docs = spark.createDataFrame(hot, "doc_id long, text string, source string")
+    n = {r.source: r.n for r in mixing.mix(docs, {"a": 1, "b": 1}).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    size = {s: sum(len(t) for _, t, x in hot if x == s) for s in "ab"}
+    assert all(abs(n[s] - (size["a"] + size["b"]) / 2 / size[s] * sum(x == s for *_, x in hot)) <= 1 for s in "ab")
+    with pytest.raises(ValueError, match="12 digits"):
+        mixing.mix(docs, {"a": 10**12})
+
+
+@pytest.mark.parametrize("rows", [0, 1, 40, 500])
+def test_blocks_ascend_with_the_keys(spark, rows):
+    rng = random.Random(rows)
+    keys = [(rng.choice(EDGES), rng.choice(EDGES + [5, 6])) for _ in range(rows)]
+    df = spark.createDataFrame(keys, "a long, b long")
+    cuts = ordered.quantiles(df, 8)
+    got = df.select("a", "b", ordered.block([F.col("a"), F.col("b")], cuts).alias("n")).collect()
+    assert all(r.n == sum(tuple(c) <= (r.a, r.b) for c in cuts.tolist()) for r in got) and len(cuts) <= max(0, rows // 8)
+
+
 def test_mixing_to_given_weights(spark, odd, empty):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") < 900, "a").otherwise("b").alias("source"))
     n = {r.source: r.n for r in mixing.mix(docs, {"a": 1, "b": 3}).groupBy("source").agg(F.count("*").alias("n")).collect()}
