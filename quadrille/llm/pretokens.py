@@ -2,15 +2,13 @@
 
 A text is first cut at white space into chunks over which BPE never merges:
 an optional space with a run of other characters, or a run of white space.
-Tokenising chunk by chunk gives the same ids as tokenising the text, and most
-chunks come again and again, so each task remembers them.
+Pre-tokens never cross a chunk, so a text's pre-tokens are those of its chunks.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from array import array
 from functools import lru_cache
 
 import tiktoken
@@ -18,8 +16,6 @@ import tiktoken
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Chunks that a worker remembers, twice.
-CACHE = 200_000
 
 
 @lru_cache(2)
@@ -28,27 +24,3 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-class ChunkCache(dict):
-    """chunk -> the bytes of its ids, 4 each. When full, what was not asked for since the last time goes."""
-
-    def __init__(self, vocabulary: str) -> None:
-        super().__init__()
-        self.encode, self.before = encoding(vocabulary).encode_ordinary, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.before = dict(self)
-            self.clear()
-        made = self.before.get(chunk)
-        if made is None:
-            made = array("i", self.encode(chunk)).tobytes()
-        self[chunk] = made
-        return made
-
-
-@lru_cache(2)
-def chunk_cache(vocabulary: str) -> ChunkCache:
-    """That of this worker, which outlives a task."""
-    return ChunkCache(vocabulary)

@@ -16,6 +16,7 @@ lang and source are read, so other columns may have any name.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .pretokens import CHUNK, chunk_cache
+from .pretokens import encoding
 
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 #: What the Parquet writer is told.
@@ -37,11 +38,11 @@ SCHEMA = "doc_id long, lang string, source string, n_tokens int, token_ids array
 
 def _encode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = chunk_cache(vocabulary).__getitem__
+        encode = encoding(vocabulary).encode_ordinary
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                cells = [None if t is None else b"".join(map(ids, CHUNK.findall(t))) for t in batch.column(3).to_pylist()]
+                cells = [None if t is None else array("i", encode(t)).tobytes() for t in batch.column(3).to_pylist()]
                 missing = np.array([x is None for x in cells], bool)
                 lengths = np.array([len(x or b"") // 4 for x in cells], np.int32)
                 flat = pa.Array.from_buffers(pa.int32(), int(lengths.sum()), [None, pa.py_buffer(b"".join(x for x in cells if x))])
