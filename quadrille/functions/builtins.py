@@ -32,6 +32,31 @@ def register(name: str, f: Function, description: str = "") -> None:
     CUSTOM[name.lower()] = description
 
 
+#: Aggregates that users added: name -> a function of a Value that returns a Value of an aggregate column.
+AGGREGATES: dict[str, Function] = {}
+
+
+def register_aggregate(name: str, f: Function, description: str = "") -> None:
+    """Adds an aggregate under an IRI; it takes the Value of the argument and returns one whose column aggregates it."""
+    AGGREGATES[name.lower()] = f
+    CUSTOM[name.lower()] = description
+
+
+def unregister(name: str) -> bool:
+    """Takes a function or aggregate away; whether there was one."""
+    there = [d.pop(name.lower(), None) is not None for d in (FUNCTIONS, AGGREGATES, CUSTOM)]
+    return any(there)
+
+
+def known(name: str) -> bool:
+    return name.lower() in FUNCTIONS or name.lower() in AGGREGATES or name in _CASTS
+
+
+def described() -> dict[str, str]:
+    """The functions and aggregates that users added, with their descriptions."""
+    return dict(CUSTOM)
+
+
 def call(name: str, args: list[Value]) -> Value:
     f = FUNCTIONS.get(name.lower()) or (FUNCTIONS.get(_CASTS[name]) if name in _CASTS else None)
     if f is None:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import GraphError
 from ..shared import settled
-from ..terms import BNODE, IRI, LITERAL, TERM, equivalent, make, nt
+from ..terms import BNODE, IRI, LITERAL, TERM, Term, equivalent, make, nt, nt_text
 from ..vocab import OWL, RDF, RDFS
 
 
@@ -48,70 +50,130 @@ def line(s: Column, p: Column, o: Column, g: Column | None = None) -> Column:
     return F.concat(nt(s), F.lit(" <"), p, F.lit("> "), nt(o), *([F.when(g.isNotNull(), F.concat(F.lit(" <"), g, F.lit(">"))).otherwise("")] if g is not None else []), F.lit(" ."))
 
 
-def colours(triples: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, colour) of each blank node: refined by its edges, both ways, until no more classes appear."""
+def colours(triples: DataFrame) -> DataFrame:
+    """(node, colour) of each blank node: refined by its edges, both ways, until no more classes appear, which takes at most as many rounds as there are blank nodes."""
     t = settled(triples.select("s", "p", "o").distinct(), "graph")
     nodes = settled(t.select(F.col("s").alias("n")).union(t.select("o")).where(f"n.kind = {BNODE}").select(F.col("n.lex").alias("node")).distinct(), "nodes")
     now, classes = nodes.withColumn("colour", F.lit("0")), 1
     edges = t.select(F.col("s.lex").alias("node"), (F.col("s.kind") == BNODE).alias("b"), F.lit("+").alias("d"), "p", F.col("o").alias("x")).union(t.select(F.col("o.lex"), F.col("o.kind") == BNODE, F.lit("-"), "p", "s")).where("b").drop("b")
-    for _ in range(rounds):
+    while True:
         ends = edges.join(now.select(F.col("node").alias("m"), F.col("colour").alias("c")), (F.col("x.kind") == BNODE) & (F.col("x.lex") == F.col("m")), "left")
         seen = ends.groupBy("node").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(" ", "d", "p", F.coalesce("c", nt(F.col("x"))))))), 256).alias("e"))
         now = settled(now.join(seen, "node", "left").select("node", F.sha2(F.concat_ws("|", "colour", "e"), 256).alias("colour")), "colours")
         found = now.select("colour").distinct().count()
         if found <= classes:
-            break
+            return now
         classes = found
-    return now
 
 
-def _coloured(triples: DataFrame) -> DataFrame:
-    c = colours(triples)
+def _coloured(triples: DataFrame, c: DataFrame) -> DataFrame:
     name = lambda col, j: F.coalesce(F.when(col["kind"] == BNODE, F.concat(F.lit("_:"), F.col(j))), nt(col))
     rows = triples.select("s", "p", "o").distinct().join(c.select(F.col("node").alias("n1"), F.col("colour").alias("c1")), (F.col("s.kind") == BNODE) & (F.col("s.lex") == F.col("n1")), "left")
     rows = rows.join(c.select(F.col("node").alias("n2"), F.col("colour").alias("c2")), (F.col("o.kind") == BNODE) & (F.col("o.lex") == F.col("n2")), "left")
     return rows.select(F.concat_ws(" ", name(F.col("s"), "c1"), "p", name(F.col("o"), "c2")).alias("row")).groupBy("row").count()
 
 
-def isomorphic(left: DataFrame, right: DataFrame) -> bool:
-    """Whether two graphs differ only in the labels of their blank nodes, as far as colour refinement can tell; blank nodes that it can't tell apart count as alike."""
+def _refined(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The colours of two graphs; None if they tell the graphs apart."""
     if left.distinct().count() != right.distinct().count():
+        return None
+    c, d = colours(left), colours(right)
+    a, b = _coloured(left, c), _coloured(right, d)
+    return (c, d) if a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() else None
+
+
+def isomorphic(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two graphs differ only in the labels of their blank nodes. Colour refinement decides, distributed, if every blank node has a colour of its own; else the blank nodes are matched on the driver, which they have to fit."""
+    found = _refined(left, right)
+    if found is None:
         return False
-    a, b = _coloured(left), _coloured(right)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    if found[0].groupBy("colour").count().where("count > 1").isEmpty():
+        return True
+    return _matched(left, right, *found) is not None
 
 
 def blank_node_mapping(left: DataFrame, right: DataFrame) -> dict[str, str] | None:
-    """Labels of the left graph to those of the right, None if there is no such mapping. For graphs whose blank nodes fit on the driver: what refinement leaves open is tried out."""
-    if not isomorphic(left, right):
-        return None
-    by: list[dict[str, list[str]]] = []
-    for g in (left, right):
-        own: dict[str, list[str]] = {}
-        for r in colours(g).orderBy("node").collect():
-            own.setdefault(r["colour"], []).append(r["node"])
-        by.append(own)
-    rows = [{(r.s.kind, r.s.lex, r.p, *r.o) for r in g.select("s", "p", "o").where(f"s.kind = {BNODE} OR o.kind = {BNODE}").collect()} for g in (left, right)]
-    order = sorted(((k, n) for k, ns in by[0].items() for n in ns), key=lambda x: len(by[0][x[0]]))
-
-    def fits(m: dict[str, str]) -> bool:
-        for sk, s, p, ok, o, *rest in rows[0]:
-            s2 = m.get(s) if sk == BNODE else s
-            o2 = m.get(o) if ok == BNODE else o
-            if s2 is not None and o2 is not None and (sk, s2, p, ok, o2, *rest) not in rows[1]:
-                return False
-        return True
+    """Labels of the left graph to those of the right, None if there is no such mapping. For graphs whose blank nodes fit on the driver."""
+    found = _refined(left, right)
+    return None if found is None else _matched(left, right, *found)
+
+
+class _Blanks:
+    """The blank nodes of a graph on the driver: colours, edges between them, and the parts that hang together."""
+
+    def __init__(self, triples: DataFrame, colours_: DataFrame) -> None:
+        self.colour = {r["node"]: r["colour"] for r in colours_.collect()}
+        self.edges: dict[str, set[tuple[str, str, str]]] = {n: set() for n in self.colour}
+        for r in triples.where(f"s.kind = {BNODE} AND o.kind = {BNODE}").select("s.lex", "p", F.col("o.lex").alias("o")).distinct().collect():
+            self.edges[r["lex"]].add(("+", r["p"], r["o"]))
+            self.edges[r["o"]].add(("-", r["p"], r["lex"]))
+        self.parts: list[list[str]] = []
+        seen: set[str] = set()
+        for n in sorted(self.colour, key=lambda n: (self.colour[n], n)):
+            if n not in seen:
+                seen.add(n)
+                part = [n]
+                for x in part:  # grows as it goes: each node comes after one that it touches
+                    for _, _, y in sorted(self.edges[x]):
+                        if y not in seen:
+                            seen.add(y)
+                            part.append(y)
+                self.parts.append(part)
+
+
+def _matched(left: DataFrame, right: DataFrame, c: DataFrame, d: DataFrame) -> dict[str, str] | None:
+    """Part by part: parts that can be mapped onto one another are alike for every other part too, so a part is matched once and never given back."""
+    a, b = _Blanks(left, c), _Blanks(right, d)
+    by: dict[tuple, list[list[str]]] = {}
+    for part in b.parts:
+        by.setdefault(tuple(sorted(b.colour[n] for n in part)), []).append(part)
+    out: dict[str, str] = {}
+    for part in a.parts:
+        same = by.get(tuple(sorted(a.colour[n] for n in part)), [])
+        for i, other in enumerate(same):
+            if (found := _mapping(a, part, b, other)) is not None:
+                out |= found
+                del same[i]
+                break
+        else:
+            return None
+    return out
 
-    def attempt(i: int, m: dict[str, str]) -> dict[str, str] | None:
-        if i == len(order):
-            return m
-        colour, node = order[i]
-        for other in by[1].get(colour, []):
-            if other not in m.values() and fits(nxt := {**m, node: other}) and (got := attempt(i + 1, nxt)) is not None:
-                return got
-        return None
 
-    return attempt(0, {})
+def _mapping(a: _Blanks, part: list[str], b: _Blanks, other: list[str]) -> dict[str, str] | None:
+    """By backtracking along the edges: a node's image is next to that of a neighbour, of its colour, with the same edges to what is mapped."""
+    to: dict[str, str] = {}
+    used: set[str] = set()
+
+    def choices(n: str) -> Iterator[str]:
+        near = next(((d, p, x) for d, p, x in sorted(a.edges[n]) if x in to), None)
+        if near is None:
+            some = other
+        else:
+            back = "-" if near[0] == "+" else "+"
+            some = sorted({y for d, p, y in b.edges[to[near[2]]] if (d, p) == (back, near[1])})
+        mapped = {(d, p, x) for d, p, x in a.edges[n] if x in to or x == n}
+        for y in some:
+            if y in used or b.colour[y] != a.colour[n]:
+                continue
+            if {(d, p, y if x == n else to[x]) for d, p, x in mapped} == {(d, p, x) for d, p, x in b.edges[y] if x in used or x == y}:
+                yield y
+
+    tried = [choices(part[0])]
+    while tried:
+        n = part[len(tried) - 1]
+        if n in to:
+            used.discard(to.pop(n))
+        y = next(tried[-1], None)
+        if y is None:
+            tried.pop()
+            continue
+        to[n] = y
+        used.add(y)
+        if len(to) == len(part):
+            return to
+        tried.append(choices(part[len(tried)]))
+    return None
 
 
 # RDFS
@@ -138,12 +200,18 @@ def infer(triples: DataFrame, mode: str = "single_pass", owl: bool = False) -> D
     single_pass applies transitivity, domain and range once to what is given;
     fixpoint also hands types and properties up and goes on until nothing is new.
     owl adds inverse, symmetric and transitive properties, equivalence and sameAs."""
-    given = settled(triples.select("s", "p", "o").distinct(), "given")
     if mode not in ("single_pass", "fixpoint"):
         raise GraphError(f"unknown mode {mode}")
     rules = lambda t, once: [_transitive(t, RDFS.subClassOf), _transitive(t, RDFS.subPropertyOf), _typed(t, RDFS.domain, "s", True), _typed(t, RDFS.range, "o", once)]
-    if mode == "single_pass":
-        return reduce(DataFrame.union, rules(given, True)).distinct().join(given, ["s", "p", "o"], "left_anti")
+    if mode == "single_pass":  # the schema is read first; of the data only the triples whose predicate it names, and only new types are made distinct
+        schema = settled(triples.select("s", "p", "o").where(F.col("p").isin(RDFS.subClassOf, RDFS.subPropertyOf, RDFS.domain, RDFS.range)).distinct(), "schema")
+        named = settled(schema.where(F.col("p").isin(RDFS.domain, RDFS.range)).select(F.col("s.lex").alias("q")).distinct(), "named")
+        data = triples.select("s", "p", "o").join(named, F.col("p") == F.col("q"), "left_semi")
+        typed = [rule(data.unionByName(schema.where(F.col("p") == r)), r, at, True) for rule, r, at in ((_typed, RDFS.domain, "s"), (_typed, RDFS.range, "o"))]
+        made = reduce(DataFrame.union, [_transitive(schema, RDFS.subClassOf), _transitive(schema, RDFS.subPropertyOf), *typed])
+        known = triples.select("s", "p", "o").where(F.col("p").isin(RDF.type, RDFS.subClassOf, RDFS.subPropertyOf))
+        return made.distinct().join(known, ["s", "p", "o"], "left_anti")
+    given = settled(triples.select("s", "p", "o").distinct(), "given")
     now, n = given, given.count()
     while True:
         made = rules(now, False)
@@ -194,6 +262,34 @@ def inconsistencies(triples: DataFrame) -> DataFrame:
     return first.join(types, ["node"]).where("c = other").select("node", "one", "other").distinct()
 
 
+class Imported(NamedTuple):
+    triples: DataFrame
+    #: Ontologies loaded, and how many steps away each is.
+    depths: dict[str, int]
+    #: Those that could not be had.
+    missing: list[str]
+
+
+def imported(triples: DataFrame, ontology: str, load: Callable[[str], DataFrame | None], most: int = 50) -> Imported:
+    """The graph with what it imports, to any depth up to most steps; load gives the triples of an ontology or None. An ontology is loaded once, so circles end."""
+    depths, missing = {ontology: 0}, []
+    whole, now = triples.select("s", "p", "o"), [triples]
+    for depth in range(1, most + 1):
+        names = sorted({r[0] for t in now for r in t.where(F.col("p") == OWL.imports).select("o.lex").distinct().collect()} - depths.keys() - set(missing))
+        now = []
+        for name in names:
+            got = load(name)
+            if got is None:
+                missing.append(name)
+                continue
+            depths[name] = depth
+            now.append(got)
+            whole = whole.unionByName(got.select("s", "p", "o"))
+        if not now:
+            break
+    return Imported(whole.distinct(), depths, missing)
+
+
 # lists, resources
 def lists(triples: DataFrame, heads: DataFrame) -> DataFrame:
     """(head, items) of each head (head); items is null where a cell has not one first and one rest, or the list runs in a circle."""
@@ -226,9 +322,17 @@ def instances(triples: DataFrame, cls: str) -> DataFrame:
     return triples.where(F.col("p") == RDF.type).join(classes, "o").select(F.col("s").alias("node")).distinct()
 
 
-def reifiers(triples: DataFrame) -> DataFrame:
-    """(reifier, triple): who states or denies which quoted triple."""
-    return triples.where(F.col("p") == RDF.reifies).select(F.col("s").alias("reifier"), F.col("o").alias("triple"))
+def reifiers(triples: DataFrame, s: Term | None = None, p: str | None = None, o: Term | None = None) -> DataFrame:
+    """(reifier, triple): who states or denies which quoted triple; of the claims with this subject, predicate or object only, where given."""
+    from ..functions.builtins import parts
+    from ..functions.values import Value
+
+    rows = triples.where(F.col("p") == RDF.reifies).select(F.col("s").alias("reifier"), F.col("o").alias("triple"))
+    subject, predicate, object_ = parts(Value("term", F.col("triple")))
+    for term, of in ((s, subject), (o, object_)):
+        if term is not None:
+            rows = rows.where(nt(of.col) == nt_text(term))
+    return rows if p is None else rows.where(predicate.col == p)
 
 
 def property_bag(triples: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from ..terms import BNODE, IRI, LITERAL
 from ..vocab import OWL, RDF, RDFS, SKOS
 from .paths import closed
 
-CAP = 50
 _SYSTEM = ("http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2001/XMLSchema#")
 _PROPERTIES = (OWL.ObjectProperty, OWL.DatatypeProperty, OWL.AnnotationProperty, RDF.Property)
 
@@ -47,15 +46,16 @@ class Hierarchy:
         self.levels = settled(self._levels(), "levels")
 
     def _levels(self) -> DataFrame:
-        """(c, depth, paths): the longest way to a root and the number of ways; nodes of cycles have depth 0. At most CAP levels."""
+        """(c, depth, paths): the longest way to a root and the number of ways; nodes of cycles have depth 0. A round a level."""
         free = self.edges.join(self.cycles, F.col("child") == F.col("c"), "left_anti").join(self.cycles, F.col("parent") == F.col("c"), "left_anti")
         free = settled(free, "acyclic")
         now = self.classes.join(free.select(F.col("child").alias("c")), "c", "left_anti").select("c", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("paths"))
-        levels = []
-        for k in range(CAP + 1):
+        levels: list[DataFrame] = []
+        while True:
             now = settled(now, "level")
             if now.isEmpty():
                 break
+            k = len(levels)
             levels.append(now)
             now = now.join(free, F.col("c") == F.col("parent")).groupBy("child").agg(F.sum("paths").alias("paths")).select(F.col("child").alias("c"), F.lit(k + 1).alias("depth"), "paths")
         every = reduce(DataFrame.union, levels) if levels else self.classes.select("c", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("paths")).limit(0)
@@ -124,6 +124,20 @@ def scored(value: Column, bounds: tuple[float, float, float, float], high_is_goo
     return F.when(value.isNotNull(), steps if high_is_good else 6 - steps)
 
 
+_LOW, _WIDE = (2.0, 4.0, 6.0, 8.0), (3.0, 6.0, 8.0, 12.0)
+#: The bounds of each metric, and whether more is better.
+BOUNDS = {
+    **{m: (_LOW, False) for m in ("dit", "nac", "cbo", "lcom", "nom", "tm")}, **{m: (_WIDE, False) for m in ("noc", "rfc")}, "wmc": ((5.0, 8.0, 11.0, 15.0), False),
+    **{m: ((0.2, 0.4, 0.6, 0.8), True) for m in ("rr", "inr", "ar", "cr", "an", "pr")},
+}
+
+
+def scores(row: DataFrame) -> DataFrame:
+    """(metric, value, score) of the metrics of oquare(); null where there is no value."""
+    cells = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), scored(F.col(m), bounds, good).alias("score")) for m, (bounds, good) in BOUNDS.items() if m in row.columns]
+    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
 def imports(t: DataFrame) -> DataFrame:
     """(ontology, imports, versioned): versioned are those whose IRI has a version number."""
     rows = t.where(F.col("p") == OWL.imports)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError, UnsupportedError
-from ..functions.builtins import arithmetic, call, parts
+from ..functions.builtins import AGGREGATES, arithmetic, call, parts
 from ..functions.values import Value, constant, equal, less, matches, order_key
 from ..operators.graph import describe
 from ..operators.paths import path_solutions
@@ -42,6 +42,15 @@ def variables(x: Any) -> set[str]:
     return set()
 
 
+def with_aggregates(x: Any) -> Any:
+    """The expression, calls of registered aggregates as aggregates."""
+    if not isinstance(x, A.Call):
+        return x
+    if x.name.lower() in AGGREGATES and len(x.args) == 1:
+        return A.Aggregate(x.name, x.args[0])
+    return A.Call(x.name, tuple(map(with_aggregates, x.args)))
+
+
 def aggregates(x: Any) -> list[A.Aggregate]:
     if isinstance(x, A.Aggregate):
         return [x]
@@ -130,9 +139,10 @@ class Engine:
         engine = self.over(q)
         sols = engine.group(q.where)
         items = q.items
-        having, order = list(q.having), list(q.order_by)
+        having, order = [with_aggregates(e) for e in q.having], [(with_aggregates(e), d) for e, d in q.order_by]
         if items is None:
             items = tuple((n, A.Ref(n)) for n in sols.values if not n.startswith("_b"))
+        items = tuple((n, with_aggregates(e)) for n, e in items)
         used = [a for x in [e for _, e in items] + having + [e for e, _ in order] for a in aggregates(x)]
         if used or q.group_by:
             sols, named = engine.aggregate(sols, q.group_by, list(dict.fromkeys(used)))
@@ -186,6 +196,8 @@ class Engine:
                 return Value("num", F.count_distinct(F.struct(*(F.coalesce(nt(v.term()), F.lit("")) for v in sols.values.values()))), XSD.integer)
             return Value("num", F.count(F.lit(1)), XSD.integer)
         v = self.expression(a.arg, sols.values)
+        if a.name.lower() in AGGREGATES:
+            return AGGREGATES[a.name.lower()](v)
         if a.name == "count":
             return Value("num", F.count_distinct(v.col) if a.distinct else F.count(v.col), XSD.integer)
         if a.name in ("sum", "avg"):

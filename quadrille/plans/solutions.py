@@ -103,13 +103,24 @@ def minus(a: Solutions, b: Solutions) -> Solutions:
     a, b, shared = _aligned(a, b)
     if not shared:
         return a
-    if not any(n in a.maybe or n in b.maybe for n in shared):
-        return join(a, b.project(shared), "anti")
-    right = b.df.select(*(b.values[n].col.alias(f"r_{n}") for n in shared))
-    pairs = [(F.col(column(n)), F.col(f"r_{n}")) for n in shared]
-    compatible = reduce(lambda x, y: x & y, [(x == y) | x.isNull() | y.isNull() for x, y in pairs])
-    some = reduce(lambda x, y: x | y, [F.coalesce(x == y, F.lit(False)) for x, y in pairs])
-    return Solutions(a.df.join(right, compatible & some, "left_anti"), a.values, a.maybe)
+    # what may be unbound is split into the bound and the unbound rows: each part is an equi-join on what both have bound
+    for side, other in ((a, b), (b, a)):
+        for n in (n for n in shared if n in side.maybe):
+            bound = Solutions(side.df.where(side.values[n].col.isNotNull()), side.values, side.maybe - {n})
+            free = Solutions.of(side.df.where(side.values[n].col.isNull()), {k: v for k, v in side.values.items() if k != n}, side.maybe - {n})
+            if side is a:
+                return _whole(union([minus(bound, b), minus(free, b)]), a)
+            return minus(minus(a, bound), free)
+    return join(a, b.project(shared), "anti")
+
+
+def _whole(found: Solutions, like: Solutions) -> Solutions:
+    """With all variables of like, in its order."""
+    missing = {n: v for n, v in like.values.items() if n not in found.values}
+    df = found.df
+    for n in missing:
+        df = df.withColumn(column(n), F.lit(None).cast(like.df.schema[column(n)].dataType))
+    return Solutions(df, {n: found.values.get(n, v) for n, v in like.values.items()}, like.maybe)
 
 
 def union(branches: list[Solutions]) -> Solutions:

@@ -10,7 +10,7 @@ import hashlib
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ShapeError
@@ -215,6 +215,14 @@ class Validator:
         found = pairs(self.source, self.shapes.path(prop))
         return Solutions.of(found.df, {"f": found.values["_x"], name: found.values["_y"]})
 
+    def unmatched(self, a: Solutions, b: Solutions) -> tuple[Solutions, Solutions]:
+        """Of two bags of (f, v) what each has more often than the other, as often as that."""
+        a, b = (x.project(["f", "v"]).cast({"f", "v"}) for x in (a, b))
+        f, v = column("f"), column("v")
+        both = a.df.select(f, v, F.lit(1).alias("n")).unionByName(b.df.select(f, v, F.lit(-1).alias("n"))).groupBy(f, v).agg(F.sum("n").alias("n"))
+        more = lambda n: Solutions(both.where(n > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), n.cast("bigint")))).select(f, v), a.values)
+        return more(F.col("n")), more(-F.col("n"))
+
     def bad_values(self, s: Term, values: Solutions, shape: Term) -> Solutions:
         """(f, v) whose value fails a shape."""
         v = values.project(["v"]).distinct()
@@ -290,8 +298,7 @@ class Validator:
             say(Solutions(twice, {"f": f.at(column("f"))}), "uniqueLang", "more than one value in a language", None)
         for o in get("equals"):
             other = self.related(o, "v")
-            left = join(values, other, "anti")
-            right = join(join(focus, other), values, "anti")
+            left, right = self.unmatched(values, join(focus, other))
             say(left, "equals", f"not a value of {o.lex}")
             say(right, "equals", f"lacks a value of {o.lex}")
         for o in get("subsetOf"):
@@ -409,7 +416,10 @@ class Validator:
                     allowed |= named(sh.path(sh.one(p, SH.path)))
         for o in sh.all(s, SH.ignoredProperties):
             allowed |= {x.lex for x in sh.items(o)}
-        t = self.source.triples().where(~F.col("p").isin(*allowed))
+        if isinstance(self.source, TableSource):  # only the tables of the focus nodes, and of them the columns that aren't allowed
+            t = self.source.quads(self.source.of_resources(focus.values["f"]) or [*self.source.maps][:1], allowed).select("s", "p", "o")
+        else:
+            t = self.source.triples().where(~F.col("p").isin(*allowed))
         extra = Solutions.of(t, {"f": Value("term", F.col("s")), "v": Value("term", F.col("o"))})
         say(join(focus, extra), "closed", "a predicate that the shape lacks")
 
@@ -423,8 +433,8 @@ class Validator:
             df = df.join(key, F.col("f") == F.col("kf"), "left").drop("kf")
             names.append(f"k{i}")
         whole = df.where(reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names])).select("f", F.to_json(F.struct(*names)).alias("key")).distinct()
-        twins = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("f")).alias("all")).where("n > 1")
-        pairs_ = twins.select(F.explode("all").alias("f"), "all").select("f", F.explode("all").alias("o")).where("f <> o")
+        # nodes of one key meet by a join, so none of them is gathered
+        pairs_ = whole.join(whole.select("key", F.col("f").alias("o")), "key").where("f <> o").select("f", "o")
         say(Solutions.of(pairs_, {"f": Value("term", F.col("f")), "v": Value("term", F.col("o"))}), "uniqueValuesFor", "the values are another node's too")
 
     def sparql(self, s: Term, o: Term, focus: Solutions, say: Any) -> None:
@@ -468,12 +478,23 @@ def report(violations: DataFrame) -> DataFrame:
 
 
 def as_triples(violations: DataFrame) -> DataFrame:
-    """The report as (s, p, o)."""
-    node = make(BNODE, F.concat(F.lit("r"), F.substring(F.sha2(F.to_json(F.struct("*")), 256), 1, 24)))
+    """The report as (s, p, o): a report node that says whether the data conform and names its results, and the results. Results that are equal in all columns are numbered, so each has a node."""
+    spark = violations.sparkSession
+    columns = [F.coalesce(F.to_json(F.struct(c)), F.lit("-")) for c in violations.columns]
+    copy = F.row_number().over(Window.partitionBy(*violations.columns).orderBy(F.lit(1)))
+    numbered = violations.withColumn("copy", copy)
+    node = make(BNODE, F.concat(F.lit("r"), F.substring(F.sha2(F.concat_ws("\x1f", *columns, F.col("copy").cast("string")), 256), 1, 24)))
     text = lambda c: make(LITERAL, F.col(c), XSD.string)
+    path = F.when(F.col("path").rlike("^[A-Za-z][A-Za-z0-9+.-]*:[^ ]*$"), make(IRI, F.col("path"))).otherwise(text("path"))  # other than a predicate: as it is written
+    source = make(F.when(F.col("shape").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(IRI)).otherwise(F.lit(BNODE)), F.col("shape"))
+    severity = F.when(F.col("severity").contains(":"), F.col("severity")).otherwise(F.concat(F.lit(SH), "severity"))
+    report_node = make(BNODE, F.lit("report"))
     cells = [
-        (RDF.type, make(IRI, F.lit(SH.ValidationResult))), (SH.focusNode, F.col("focus")), (SH.resultPath, make(IRI, F.col("path"))), (SH.value, F.col("value")), (SH.resultSeverity, make(IRI, F.concat(F.lit(SH), "severity"))),
-        (SH.resultMessage, text("message")), (SH.sourceShape, make(IRI, F.col("shape"))), (SH.sourceConstraintComponent, make(IRI, F.concat(F.lit(SH), F.initcap("constraint"), F.lit("ConstraintComponent")))),
+        (RDF.type, make(IRI, F.lit(SH.ValidationResult))), (SH.focusNode, F.col("focus")), (SH.resultPath, F.when(F.col("path").isNotNull(), path)), (SH.value, F.col("value")), (SH.resultSeverity, make(IRI, severity)),
+        (SH.resultMessage, text("message")), (SH.sourceShape, source), (SH.sourceConstraintComponent, make(IRI, F.concat(F.lit(SH), F.upper(F.substring("constraint", 1, 1)), F.expr("substr(constraint, 2)"), F.lit("ConstraintComponent")))),
     ]
-    rows = violations.select(node.alias("s"), F.explode(F.array(*(F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in cells))).alias("x"))
-    return rows.select("s", "x.p", "x.o").where("o IS NOT NULL")
+    own = [F.struct(node.alias("s"), F.lit(p).alias("p"), o.alias("o")) for p, o in cells]
+    rows = numbered.select(F.explode(F.array(*own, F.struct(report_node.alias("s"), F.lit(SH.result).alias("p"), node.alias("o")))).alias("x")).select("x.*").where("o IS NOT NULL")
+    bad = violations.agg(F.count_if(F.col("severity").isin("Violation", "Error")).alias("n"))
+    head = bad.select(F.explode(F.array(F.struct(F.lit(RDF.type).alias("p"), make(IRI, F.lit(SH.ValidationReport)).alias("o")), F.struct(F.lit(SH.conforms).alias("p"), make(LITERAL, (F.col("n") == 0).cast("string"), XSD.boolean).alias("o")))).alias("x"))
+    return head.select(report_node.alias("s"), "x.p", "x.o").unionByName(rows)

@@ -68,13 +68,16 @@ class TableSource:
             return Value("iri", F.col(c), "key" if not isinstance(kind, T.StringType) else "", self.resource(m.links[c]))
         return Value(_TYPES[type(kind)][0], F.col(c), _TYPES[type(kind)][1])
 
-    def quads(self, tables: list[str] | None = None) -> DataFrame:
-        """(g, s, p, o) of every cell and of every row's type."""
+    def quads(self, tables: list[str] | None = None, without: set[str] | frozenset[str] = frozenset()) -> DataFrame:
+        """(g, s, p, o) of every cell and of every row's type, but those of some predicates, whose columns aren't read."""
         out = []
         for name in tables or self.maps:
             m = self.maps[name]
-            cells = [F.struct(F.lit(p).alias("p"), self.cell(m, c).term().alias("o")) for p, (t, c) in self.columns.items() if t == name]
-            cells.append(F.struct(F.lit(RDF.type).alias("p"), Value("iri", F.lit(f"{self.base}{name}")).term().alias("o")))
+            cells = [F.struct(F.lit(p).alias("p"), self.cell(m, c).term().alias("o")) for p, (t, c) in self.columns.items() if t == name and p not in without]
+            if RDF.type not in without:
+                cells.append(F.struct(F.lit(RDF.type).alias("p"), Value("iri", F.lit(f"{self.base}{name}")).term().alias("o")))
+            if not cells:
+                cells.append(F.struct(F.lit(RDF.type).alias("p"), F.lit(None).cast(TERM).alias("o")))
             rows = self.tables[name].select(self.subject(m).term().alias("s"), F.explode(F.array(*cells)).alias("x"))
             out.append(rows.where("x.o IS NOT NULL AND s IS NOT NULL").select(F.lit(f"{self.base}graph/{name}").alias("g"), "s", "x.p", "x.o"))
         return reduce(DataFrame.union, out)
@@ -101,6 +104,12 @@ class TableSource:
         names = [n for n in self.maps if any(t.lex.startswith(self.resource(n)) for t in terms)]
         return self.quads(names or [*self.maps][:1]).select("s", "p", "o").where(F.col("s.lex").isin([t.lex for t in terms]))
 
+    def of_resources(self, v: Value) -> list[str]:
+        """The tables that can hold the resources of a value."""
+        if v.form != "iri" or not v.prefix:
+            return [*self.maps]
+        return [n for n in self.maps if v.prefix.startswith(self.resource(n))]
+
     def table_of(self, t: A.Triple) -> str | None:
         """The table whose rows alone can match; None if several can."""
         if isinstance(t.p, Term) and t.p.lex in self.columns:
@@ -147,7 +156,8 @@ class TableSource:
                 conditions.append(other.col == v.col if other.like(v) else other.term() == v.term())
             else:
                 values[node.name] = v
-                conditions.append(v.col.isNotNull())
+                if v.form != "bnode":  # made of the row, never null: testing it would read and hash all its columns
+                    conditions.append(v.col.isNotNull())
 
         known = name if name in self.graph_tables(graph) else None
         m = self.maps[known or [*self.maps][0]]
@@ -163,7 +173,7 @@ class TableSource:
                 bind(t.o, Value("iri", F.lit(f"{self.base}{name}")) if t.p.lex == RDF.type else self.cell(m, self.columns[t.p.lex][1]))
         if isinstance(graph, A.Var):
             values[graph.name] = Value("iri", F.lit(f"{self.base}graph/{name}"))
-        return Solutions.of(self.tables[m.name].where(reduce(lambda a, b: a & b, conditions)), values)
+        return Solutions.of(self.tables[m.name].where(reduce(lambda a, b: a & b, conditions, F.lit(True))), values)
 
 
 BASE = "http://tables.example/"

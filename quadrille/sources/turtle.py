@@ -1,4 +1,4 @@
-"""Turtle, TriG, N-Triples, N-Quads and plain JSON-LD: read and written."""
+"""Turtle, TriG, N-Triples, N-Quads, plain JSON-LD and (see rdfxml.py) RDF/XML: read and written."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from ..terms import BNODE, IRI, LITERAL, QUADS, Term, bnode, iri, literal, nt_te
 from ..vocab import RDF, XSD
 
 Quad = tuple[str | None, Term, str, Term]
-FORMATS = {"turtle": ("ttl", "text/turtle"), "n-triples": ("nt", "ntriples", "application/n-triples"), "n-quads": ("nq", "nquads", "application/n-quads"), "trig": ("application/trig",), "json-ld": ("jsonld", "json", "application/ld+json")}
+FORMATS = {"rdf-xml": ("rdf", "xml", "owl", "rdfxml", "rdf/xml", "application/rdf+xml"), "turtle": ("ttl", "text/turtle"), "n-triples": ("nt", "ntriples", "application/n-triples"), "n-quads": ("nq", "nquads", "application/n-quads"), "trig": ("application/trig",), "json-ld": ("jsonld", "json", "application/ld+json")}
 
 
 def format_of(name: str) -> str:
@@ -90,6 +90,10 @@ def parse(text: str, fmt: str = "turtle", base: str = "", scope: str = "") -> li
     fmt = format_of(fmt)
     if fmt == "json-ld":
         made = _jsonld(json.loads(text), base)
+    elif fmt == "rdf-xml":
+        from .rdfxml import parse_rdfxml
+
+        made = parse_rdfxml(text, base)
     else:
         made = list(_Data(text, {}, base).document())
     if fmt in ("turtle", "n-triples") and any(q[0] for q in made):
