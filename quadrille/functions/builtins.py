@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..terms import BNODE, IRI, LITERAL, TRIPLE, make, nt
+from ..terms import BNODE, IRI, LITERAL, QUOTED, TRIPLE, make, nt
 from ..vocab import NUMERIC, RDF, XSD
 from .values import Value, equal, promoted
 
@@ -189,7 +189,7 @@ def triple(s: Value, p: Value, o: Value) -> Value:
 def parse_nt(text: Column) -> Column:
     """The term that N-Triples text writes; null for null."""
     literal = F.startswith(text, F.lit('"'))
-    raw = F.regexp_extract(text, r'^"((?:[^"\\]|\\.)*)"', 1)
+    raw = F.regexp_extract(text, r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)
     lex = F.when(F.contains(raw, F.lit("\\")), F.get(F.from_json(F.concat(F.lit('["'), F.replace(raw, F.lit("\\'"), F.lit("'")), F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"}), F.lit(0))).otherwise(raw)
     lang, way, dt = F.regexp_extract(text, r'"@([A-Za-z0-9-]+?)(--(?:ltr|rtl))?$', 1), F.regexp_extract(text, r'"@[A-Za-z0-9-]+?--(ltr|rtl)$', 1), F.regexp_extract(text, r'"\^\^<([^>]*)>$', 1)
     dt = F.when(way != "", F.lit(RDF.dirLangString)).when(lang != "", F.lit(RDF.langString)).when(dt != "", dt).otherwise(XSD.string)
@@ -201,14 +201,11 @@ def parse_nt(text: Column) -> Column:
     )
 
 
-_QUOTED = r"^<<\(\s*(<<\(.*\)>>|<[^>]*>|_:\S+)\s+<([^>]*)>\s+(.*\S)\s*\)>>$"
-
-
 def parts(v: Value) -> tuple[Value, Value, Value]:
     """Subject, predicate and object of quoted triples."""
     t = v.term()
     text = F.when(t["kind"] == TRIPLE, t["lex"])
-    return Value("term", parse_nt(F.regexp_extract(text, _QUOTED, 1))), Value("iri", F.regexp_extract(text, _QUOTED, 2)), Value("term", parse_nt(F.regexp_extract(text, _QUOTED, 3)))
+    return Value("term", parse_nt(F.regexp_extract(text, QUOTED, 1))), Value("iri", F.regexp_extract(text, QUOTED, 2)), Value("term", parse_nt(F.regexp_extract(text, QUOTED, 3)))
 
 
 for _n, _name in enumerate(("subject", "predicate", "object")):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GraphError
 from ..shared import settled
-from ..terms import BNODE, IRI, LITERAL, TERM, Term, equivalent, make, nt, nt_text
+from ..terms import BNODE, IRI, LITERAL, QUOTED, TERM, TRIPLE, Term, equivalent, make, nt, nt_text
 from ..vocab import OWL, RDF, RDFS
 
 
@@ -324,15 +324,11 @@ def instances(triples: DataFrame, cls: str) -> DataFrame:
 
 def reifiers(triples: DataFrame, s: Term | None = None, p: str | None = None, o: Term | None = None) -> DataFrame:
     """(reifier, triple): who states or denies which quoted triple; of the claims with this subject, predicate or object only, where given."""
-    from ..functions.builtins import parts
-    from ..functions.values import Value
-
     rows = triples.where(F.col("p") == RDF.reifies).select(F.col("s").alias("reifier"), F.col("o").alias("triple"))
-    subject, predicate, object_ = parts(Value("term", F.col("triple")))
-    for term, of in ((s, subject), (o, object_)):
-        if term is not None:
-            rows = rows.where(nt(of.col) == nt_text(term))
-    return rows if p is None else rows.where(predicate.col == p)
+    for n, text in ((1, s and nt_text(s)), (2, p), (3, o and nt_text(o))):
+        if text is not None:
+            rows = rows.where((F.col("triple.kind") == TRIPLE) & (F.regexp_extract("triple.lex", QUOTED, n) == text))
+    return rows
 
 
 def property_bag(triples: DataFrame) -> DataFrame:

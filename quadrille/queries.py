@@ -23,6 +23,15 @@ SQL: dict[str, str] = {}
 _P = f"PREFIX : <{BASE}> PREFIX g: <{BASE}graph/> "
 
 
+#: The columns of each table that are mapped to predicates.
+_COLUMNS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "conversations": ("conv_id", "turn", "role", "text"), "documents": ("doc_id", "text", "lang", "source", "n_chars"), "pages": ("page_id", "url", "html"), "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"), "embeddings": ("vec_id", "label"),
+}
+
+
 def engine(spark: SparkSession, d: str) -> Engine:
     return Engine(spark, benchmark_tables(spark, d))
 
@@ -98,7 +107,7 @@ query("variable_predicate", f"SELECT ?p ?v WHERE {{ <{BASE}nation/3> ?p ?o BIND(
 query("type_pattern", "SELECT (COUNT(*) AS ?n) WHERE { ?x a :supplier ; :s_acctbal ?b FILTER(?b > 0) }", "SELECT count(*) AS n FROM supplier WHERE s_acctbal > 0")
 query("five_way_join", "SELECT ?r (SUM(?p * (1 - ?d)) AS ?revenue) WHERE { ?l :l_orderkey ?o ; :l_suppkey ?s ; :l_extendedprice ?p ; :l_discount ?d . ?o :o_custkey ?c . ?c :c_nationkey ?n . ?s :s_nationkey ?n . ?n :n_regionkey ?k . ?k :r_name ?r } GROUP BY ?r", "SELECT r_name AS r, round(sum(l_extendedprice * (1 - l_discount)), 3) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", revenue=3)
 # graphs
-query("named_graph_counts", "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s a ?t } } GROUP BY ?g", " UNION ALL ".join(f"SELECT '{BASE}graph/{t}' AS g, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")))
+query("named_graph_counts", "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s a ?t } } GROUP BY ?g", " UNION ALL ".join(f"SELECT '{BASE}graph/{t}' AS g, count(*) AS n FROM {t}" for t in _COLUMNS))
 query("graph_constant", "SELECT ?n ?t WHERE { GRAPH g:customer { ?c :c_name ?n } GRAPH g:orders { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t > 300000) } }", "SELECT c_name AS n, o_totalprice AS t FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000")
 query("from_graph", f"SELECT (COUNT(*) AS ?n) FROM <{BASE}graph/nation> FROM <{BASE}graph/region> WHERE {{ ?s ?p ?o }}", "SELECT (SELECT count(*) * 4 FROM nation) + (SELECT count(*) * 3 FROM region) AS n")
 # paths
@@ -176,10 +185,10 @@ def _typing(spark: SparkSession, d: str) -> DataFrame:
     return graph.infer(data.union(spark.createDataFrame(rules, data.schema))).where(F.col("p") == RDF.type).select(F.col("s.lex").alias("node"), F.col("o.lex").alias("class"))
 
 
-@operator("graph_symmetric_difference", f"SELECT 'left' AS side, '{BASE}customer/' || c_custkey AS s FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'right', '{BASE}customer/' || c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'")
+@operator("graph_symmetric_difference", f"SELECT 'left' AS side, '{BASE}orders/' || o_orderkey AS s FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'right', '{BASE}orders/' || o_orderkey FROM orders WHERE o_orderstatus = 'O'")
 def _difference(spark: SparkSession, d: str) -> DataFrame:
-    t = _triples(spark, d, "customer").where(F.col("p") == f"{BASE}c_mktsegment")
-    return graph.difference(t.where("o.lex <> 'MACHINERY'"), t.where("o.lex <> 'BUILDING'")).select("side", F.col("s.lex").alias("s"))
+    t = _triples(spark, d, "orders").where(F.col("p") == f"{BASE}o_orderstatus")
+    return graph.difference(t.where("o.lex <> 'O'"), t.where("o.lex <> 'F'")).select("side", F.col("s.lex").alias("s"))
 
 
 @operator("materialise_customer", f"SELECT '{BASE}customer/' || c_custkey AS node, c_name AS name, c_acctbal AS balance FROM customer")
@@ -187,9 +196,9 @@ def _resources(spark: SparkSession, d: str) -> DataFrame:
     return graph.materialise(_triples(spark, d, "customer"), {"name": (f"{BASE}c_name", "string", False), "balance": (f"{BASE}c_acctbal", "double", False)})
 
 
-@operator("property_bag_counts", "SELECT 4 * count(*) AS n, 2 * count(*) AS n_literals FROM nation")
+@operator("property_bag_counts", "SELECT 7 * (SELECT count(*) FROM orders) + 6 * (SELECT count(*) FROM customer) + 7 * (SELECT count(*) FROM part) AS n, 5 * (SELECT count(*) FROM orders) + 4 * (SELECT count(*) FROM customer) + 6 * (SELECT count(*) FROM part) AS n_literals")
 def _bags(spark: SparkSession, d: str) -> DataFrame:
-    return graph.property_bag(_triples(spark, d, "nation")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_literals").alias("n_literals"))
+    return graph.property_bag(_triples(spark, d, "orders", "customer", "part")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_literals").alias("n_literals"))
 
 
 @operator("cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.35")
@@ -197,9 +206,17 @@ def _cosine(spark: SparkSession, d: str) -> DataFrame:
     return graph.cosine_pairs(spark.read.parquet(f"{d}/embeddings.parquet"), 0.35, "vec_id", "embedding")
 
 
-@operator("snapshot_lines", f"""SELECT '<{BASE}region/' || r_regionkey || '> <{BASE}r_name> "' || r_name || '" .' AS line FROM region UNION ALL SELECT '<{BASE}region/' || r_regionkey || '> <{BASE}r_regionkey> "' || r_regionkey || '"^^<http://www.w3.org/2001/XMLSchema#integer> .' FROM region UNION ALL SELECT '<{BASE}region/' || r_regionkey || '> <{RDF.type}> <{BASE}region> .' FROM region""")
+_LINES = {"orders": ("o_orderkey", (("o_orderstatus", "s"), ("o_orderpriority", "s"), ("o_custkey", "customer"), ("o_orderkey", "i"))), "customer": ("c_custkey", (("c_name", "s"), ("c_mktsegment", "s"), ("c_nationkey", "nation"))), "part": ("p_partkey", (("p_type", "s"), ("p_size", "i")))}
+
+
+def _object(c: str, kind: str) -> str:
+    return f"""'"' || {c} || '"'""" if kind == "s" else f"""'"' || {c} || '"^^<http://www.w3.org/2001/XMLSchema#integer>'""" if kind == "i" else f"'<{BASE}{kind}/' || {c} || '>'"
+
+
+@operator("snapshot_lines", " UNION ALL ".join(f"SELECT '<{BASE}{t}/' || {k} || '> <{BASE}{c}> ' || {_object(c, kind)} || ' .' AS line FROM {t}" for t, (k, cs) in _LINES.items() for c, kind in cs))
 def _snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return graph.snapshot(_triples(spark, d, "region"))
+    wanted = [f"{BASE}{c}" for _, cs in _LINES.values() for c, _ in cs]
+    return graph.snapshot(_triples(spark, d, *_LINES).where(F.col("p").isin(wanted)))
 
 
 # shapes over tables
@@ -237,34 +254,36 @@ shape("shacl_closed", "region", "sh:closed true ; sh:property [ sh:path :r_regio
 
 
 # updates and measures
-@operator("update_delete_insert", f"SELECT '{BASE}customer/' || c_custkey AS node, CASE c_mktsegment WHEN 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END AS segment FROM customer")
+@operator("update_delete_insert", f"SELECT '{BASE}orders/' || o_orderkey AS node, CASE o_orderstatus WHEN 'P' THEN 'PENDING' ELSE o_orderstatus END AS status FROM orders")
 def _update(spark: SparkSession, d: str) -> DataFrame:
-    repo = Repository(spark, _triples(spark, d, "customer").select(F.lit(None).cast("string").alias("g"), "*"))
-    repo.update(_P + "DELETE { ?c :c_mktsegment 'BUILDING' } INSERT { ?c :c_mktsegment 'HOUSES' } WHERE { ?c :c_mktsegment 'BUILDING' }")
-    return repo.select(_P + "SELECT ?node ?segment WHERE { ?node :c_mktsegment ?segment }")
+    repo = Repository(spark, _triples(spark, d, "orders").select(F.lit(None).cast("string").alias("g"), "*"))
+    repo.update(_P + "DELETE { ?o :o_orderstatus 'P' } INSERT { ?o :o_orderstatus 'PENDING' } WHERE { ?o :o_orderstatus 'P' }")
+    return repo.select(_P + "SELECT ?node ?status WHERE { ?node :o_orderstatus ?status }")
 
 
-@operator("graph_counts", "SELECT count(*) * 6 AS triples, count(*) AS subjects, 6 AS predicates, 4 * count(*) AS literal_objects FROM customer")
+@operator("graph_counts", "SELECT 7 * o + 6 * c AS triples, o + c AS subjects, 12 AS predicates, 5 * o + 4 * c AS literal_objects FROM (SELECT (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM customer) AS c)")
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    got = metrics.graph_counts(_triples(spark, d, "customer"))
+    got = metrics.graph_counts(_triples(spark, d, "orders", "customer"))
     return got.select("triples", "subjects", F.col("predicates").cast("int").alias("predicates"), "literal_objects")
 
 
-@operator("entity_counts", f"SELECT '{BASE}nation' AS type, count(*) AS n FROM nation UNION ALL SELECT '{BASE}region', count(*) FROM region")
+@operator("entity_counts", " UNION ALL ".join(f"SELECT '{BASE}{t}' AS type, count(*) AS n FROM {t}" for t in _COLUMNS if t != "lineitem"))
 def _entities(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.entity_counts(_triples(spark, d, "nation", "region"))
+    return metrics.entity_counts(_triples(spark, d, *(t for t in _COLUMNS if t != "lineitem")))
 
 
-@operator("cell_statements", " UNION ALL ".join(f"SELECT '{BASE}graph/{t}' AS g, CAST({' + '.join(f'count({c})' for c in cs)} + count(*) AS BIGINT) AS n FROM {t}" for t, cs in (("region", ("r_regionkey", "r_name")), ("supplier", ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")), ("lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")))))
+@operator("cell_statements", " UNION ALL ".join(f"SELECT '{BASE}graph/{t}' AS g, CAST({' + '.join(f'count({c})' for c in cs)} + count(*) AS BIGINT) AS n FROM {t}" for t, cs in _COLUMNS.items()))
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return benchmark_tables(spark, d).quads(["region", "supplier", "lineitem"]).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return benchmark_tables(spark, d).quads().groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
 
-@operator("line_round_trip", f"SELECT '{BASE}nation/' || n_nationkey AS node, n_name AS name FROM nation")
+@operator("line_round_trip", f"SELECT '{BASE}orders/' || o_orderkey AS node, 'o_orderpriority' AS p, o_orderpriority AS v FROM orders UNION ALL SELECT '{BASE}part/' || p_partkey, 'p_name', p_name FROM part UNION ALL SELECT '{BASE}documents/' || doc_id, 'documents_text', text FROM documents WHERE text IS NOT NULL")
 def _round_trip(spark: SparkSession, d: str) -> DataFrame:
-    t = _triples(spark, d, "nation")
+    """Texts with line breaks and quotes among them."""
+    t = _triples(spark, d, "orders", "part", "documents")
     back = parsed_lines(t.select(graph.line(F.col("s"), F.col("p"), F.col("o")).alias("value")))
-    return back.where(F.col("p") == f"{BASE}n_name").select(F.col("s.lex").alias("node"), F.col("o.lex").alias("name"))
+    p = F.replace("p", F.lit(BASE))
+    return back.where(p.isin("o_orderpriority", "p_name", "documents_text")).select(F.col("s.lex").alias("node"), p.alias("p"), F.col("o.lex").alias("v"))
 
 
 from . import queries_more  # noqa: E402, F401  (registers the rest)

@@ -18,6 +18,7 @@ from .operators.authoring import GraphBuilder
 from .operators.paths import closed_from
 from .plans.engine import Engine
 from .queries import _P, _SHAPES, _triples, engine, operator, query
+from .shacl.dataquality import DataQuality
 from .shacl.rules import check
 from .shacl.validate import Validator, as_triples, compiled, digest, report
 from .shared import settled, shared_folder
@@ -492,6 +493,31 @@ def _report_json(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([("in debt", sum(r["message"] == "in debt" for r in made["results"]), made["conforms"])], "message string, n bigint, conforms boolean")
 
 
+# data quality
+def quality(name: str, make_, sql: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = make_(DataQuality(spark, benchmark_tables(spark, d)))
+        return found.select(F.col("focus.lex").alias("node"), F.col("value.lex").alias("value"))
+
+    operator(name, sql)(run)
+
+
+quality("dq_ean13", lambda q: q.ean13(f"{BASE}o_orderkey"), f"SELECT {_O} AS node, CAST(o_orderkey AS VARCHAR) AS value FROM orders WHERE length(CAST(o_orderkey AS VARCHAR)) <> 13")
+quality("dq_unique", lambda q: q.unique(f"{BASE}p_name"), f"SELECT '{BASE}part/' || p_partkey AS node, p_name AS value FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)")
+quality("dq_unique_in_class", lambda q: q.unique(f"{BASE}o_custkey", f"{BASE}orders"), f"SELECT {_O} AS node, '{BASE}customer/' || o_custkey AS value FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)")
+quality("dq_legal", lambda q: q.legal(f"{BASE}o_orderkey", f"{BASE}customer", f"{BASE}c_custkey"), f"SELECT {_O} AS node, CAST(o_orderkey AS VARCHAR) AS value FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+quality("dq_legal_in_class", lambda q: q.legal(f"{BASE}p_size", f"{BASE}nation", f"{BASE}n_nationkey", f"{BASE}part"), f"SELECT '{BASE}part/' || p_partkey AS node, CAST(p_size AS VARCHAR) AS value FROM part WHERE p_size NOT IN (SELECT n_nationkey FROM nation)")
+quality("dq_legal_via", lambda q: q.legal(f"{BASE}c_custkey", f"{BASE}supplier", f"{BASE}s_suppkey", f"{BASE}orders", f"{BASE}o_custkey"), f"SELECT {_O} AS node, CAST(o_custkey AS VARCHAR) AS value FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+quality("dq_illegal", lambda q: q.illegal(f"{BASE}p_size", f"{BASE}nation", f"{BASE}n_nationkey"), f"SELECT '{BASE}part/' || p_partkey AS node, CAST(p_size AS VARCHAR) AS value FROM part WHERE p_size IN (SELECT n_nationkey FROM nation)")
+quality("dq_illegal_in_class", lambda q: q.illegal(f"{BASE}o_orderkey", f"{BASE}supplier", f"{BASE}s_suppkey", f"{BASE}orders"), f"SELECT {_O} AS node, CAST(o_orderkey AS VARCHAR) AS value FROM orders WHERE o_orderkey IN (SELECT s_suppkey FROM supplier)")
+quality("dq_implies", lambda q: q.implies(f"{BASE}o_orderstatus", "P", f"{BASE}o_orderpriority", "1-URGENT"), f"SELECT {_O} AS node, CAST(NULL AS VARCHAR) AS value FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT'")
+quality("dq_implies_in_class", lambda q: q.implies(f"{BASE}c_mktsegment", "BUILDING", f"{BASE}c_nationkey", f"{BASE}nation/3", f"{BASE}customer"), f"SELECT {_C} AS node, CAST(NULL AS VARCHAR) AS value FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey <> 3")
+quality("dq_empty_when", lambda q: q.empty_when(f"{BASE}lang", "de", f"{BASE}documents_text"), f"SELECT '{BASE}documents/' || doc_id AS node, CAST(NULL AS VARCHAR) AS value FROM documents WHERE lang = 'de' AND coalesce(text, 'x') <> ''")
+quality("dq_trusted_pair", lambda q: q.trusted_pair(f"{BASE}c_custkey", f"{BASE}c_nationkey", f"{BASE}supplier", f"{BASE}s_suppkey", f"{BASE}s_nationkey"), f"SELECT {_C} AS node, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey AND s_nationkey = c_nationkey)")
+quality("dq_trusted_pair_in_class", lambda q: q.trusted_pair(f"{BASE}p_size", f"{BASE}p_brand", f"{BASE}part", f"{BASE}p_partkey", f"{BASE}p_brand", f"{BASE}part"), f"SELECT '{BASE}part/' || a.p_partkey AS node, CAST(a.p_size AS VARCHAR) AS value FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = a.p_size AND b.p_brand = a.p_brand)")
+quality("dq_trusted_pair_via", lambda q: q.trusted_pair(f"{BASE}c_nationkey", f"{BASE}o_orderkey", f"{BASE}supplier", f"{BASE}s_nationkey", f"{BASE}s_suppkey", f"{BASE}orders", f"{BASE}o_custkey"), f"SELECT {_O} AS node, '{BASE}nation/' || c_nationkey AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_orderkey AND s_nationkey = c_nationkey)")
+
+
 # rules
 @operator("owl_rule_catalogue", f"{_TREE} SELECT 'class-label' AS rule, count(*) AS n FROM k UNION ALL SELECT 'single-child', count(*) FROM d WHERE children = 1 HAVING count(*) > 0")
 def _rules(spark: SparkSession, d: str) -> DataFrame:

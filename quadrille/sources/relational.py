@@ -183,7 +183,8 @@ MAPS = [
     TableMap("customer", ("c_custkey",), {"c_nationkey": "nation"}), TableMap("supplier", ("s_suppkey",), {"s_nationkey": "nation"}),
     TableMap("part", ("p_partkey",)), TableMap("orders", ("o_orderkey",), {"o_custkey": "customer"}),
     TableMap("lineitem", (), {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}), TableMap("events", ("event_id",)),
-    TableMap("conversations", ("conv_id", "turn")),
+    TableMap("conversations", ("conv_id", "turn")), TableMap("documents", ("doc_id",)), TableMap("pages", ("page_id",)), TableMap("benchmark", ("item_id",)),
+    TableMap("labels", ("doc_id",), {"doc_id": "documents"}), TableMap("embeddings", ("vec_id",)),
 ]
 
 

@@ -162,7 +162,7 @@ def quads(spark: SparkSession, rows: list[Quad]) -> DataFrame:
     return spark.createDataFrame([(g, s.row, p, o.row) for g, s, p, o in rows], QUADS)
 
 
-_LINE = r"^\s*(<[^>]*>|_:[^\s<]+)\s*<([^>]*)>\s*(<<\(.*\)>>|<[^>]*>|_:[^\s<]+|\"(?:[^\"\\]|\\.)*\"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(?:<([^>]*)>\s*)?\.\s*(?:#.*)?$"
+_LINE = r"^\s*(<[^>]*>|_:[^\s<]+)\s*<([^>]*)>\s*(<<\(.*\)>>|<[^>]*>|_:[^\s<]+|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(?:<([^>]*)>\s*)?\.\s*(?:#.*)?$"
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ TERM = "struct<kind:tinyint,lex:string,dt:string,lang:string,dir:string>"
 TRIPLES = f"s {TERM}, p string, o {TERM}"
 QUADS = f"g string, {TRIPLES}"
 IRI, BNODE, LITERAL, TRIPLE = 0, 1, 2, 3
+#: The canonical text of a quoted triple: subject, predicate, object.
+QUOTED = r"^<<\(\s*(<<\(.*\)>>|<[^>]*>|_:\S+)\s+<([^>]*)>\s+(.*\S)\s*\)>>$"
 _IRI = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"{}|\\^`]*$")
 
 
