@@ -99,7 +99,7 @@ def _reifiers(spark: SparkSession, d: str) -> DataFrame:
 
 @operator("reifiers_of_a_claim", f"SELECT '{BASE}claim/' || c_custkey AS reifier FROM customer WHERE c_nationkey = 7")
 def _claim(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reifiers(_claims(spark, d), o=iri(f"{BASE}nation/7")).select(F.col("reifier.lex").alias("reifier"))
+    return graph.reifiers(settled(_claims(spark, d), "claims"), o=iri(f"{BASE}nation/7")).select(F.col("reifier.lex").alias("reifier"))
 
 
 @operator("path_zero_or_more", "WITH t AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT DISTINCT conv_id, turn FROM conversations)), r AS (SELECT conv_id, run, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1) SELECT CAST(sum(n * (n + 1) / 2) AS BIGINT) AS pairs FROM r")

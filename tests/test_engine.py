@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.dataset import Repository
 from quadrille.errors import GraphError, ParseError, QueryError
@@ -8,6 +9,7 @@ from quadrille.plans.engine import Engine
 from quadrille.plans.parser import parse_query
 from quadrille.sources.quads import QuadSource
 from quadrille.sources.turtle import parse, quads
+from quadrille.store import QuadStore
 
 DATA = """@prefix : <http://x/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
 :a :knows :b , :c ; :age 30 ; :name "Ann"@en , "Anna" . :b :knows :c ; :age "x" ; :name "Bob" . :c :knows :a ; :height 1.5 ; :born "2000-01-02"^^xsd:date .
@@ -108,3 +110,55 @@ def test_from_is_a_set_union(spark):
     e = Engine(spark, QuadSource(quads(spark, parse("PREFIX : <http://x/> :g { :a :p 1 } :h { :a :p 1 . :a :p 2 }", "trig"))))
     assert e.select("SELECT ?o FROM <http://x/g> FROM <http://x/h> { ?s ?p ?o }").count() == 2
     assert e.select("SELECT ?g FROM NAMED <http://x/h> { GRAPH ?g { ?s ?p ?o } }").count() == 2
+
+
+def test_reifier_and_registered_aggregate(engine):
+    assert rows(engine, "SELECT ?y { << :a :knows ?o ~ ?r >> :since ?y }") == [("2001",)]
+    builtins.register_aggregate("http://x/widest", lambda v: Value("num", F.max(v.num()) - F.min(v.num()), "http://www.w3.org/2001/XMLSchema#double"), "spread")
+    assert rows(engine, "SELECT (:widest(?v) + 1 AS ?w) { VALUES ?v { 1 4 2 } }") == [(4.0,)]
+    assert builtins.known("http://x/widest") and builtins.described()["http://x/widest"] == "spread"
+    assert builtins.unregister("http://x/widest") and not builtins.known("http://x/widest")
+
+
+def test_minus_with_unbound_variables(engine):
+    assert rows(engine, "SELECT ?s ?h { ?s :name ?n OPTIONAL { ?s :height ?h } MINUS { ?s :age 30 } }") == sorted([("http://x/b", None), *[r for r in rows(engine, "SELECT ?s ?h { ?s :name 'Zed' OPTIONAL { ?s :height ?h } }")]])
+    assert rows(engine, "SELECT ?x ?y { VALUES (?x ?y) { (1 UNDEF) (UNDEF 2) (3 4) } MINUS { VALUES (?x ?y) { (1 5) (UNDEF 4) } } }") == [(None, "2")]
+
+
+def test_store_versions(spark, tmp_path):
+    store = QuadStore(spark, f"file://{tmp_path}/store")
+    assert store.versions() == [] and store.quads().count() == 0
+    first = store.commit(quads(spark, parse(DATA)))
+    one, other = store.repository(), store.repository()
+    one.update("INSERT DATA { <http://x/n> <http://x/n> 1 } ; CREATE GRAPH <http://x/g>")
+    assert store.save(one) == first + 1 and store.repository().has_graph("http://x/g")
+    assert store.quads(first).count() + 1 == store.quads().count()
+    with pytest.raises(GraphError):
+        store.save(other)  # someone was first
+    assert store.versions() == [0, 1]
+
+
+def test_plans_read_only_what_they_need(spark):
+    import __spark_entry__
+
+    for name in ("bgp_nation_revenue", "bgp_pricing_summary", "filter_numeric_range", "five_way_join", "bind_discounted_price"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "sha2" not in plan and "l_shipmode" not in plan
+        scans = [x for x in plan.split("ReadSchema")[1:] if "l_extendedprice" in x[:400]]
+        assert scans and all("l_tax" not in x[:400] for x in scans)
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parents[1]
+    shutil.copytree(root / "quadrille", tmp_path / "quadrille", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=100)
+    code = "import __spark_entry__ as e; assert not any(n.startswith('op1_') or n == 'pipeline' for n in e.queries()); print(len(e.queries()))"
+    assert int(run(code).stdout) > 150
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
+    assert "no_such_module" in run(code).stderr  # any other missing module is an error
