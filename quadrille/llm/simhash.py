@@ -435,11 +435,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, max_sketch: int =
 def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS, max_sketch: int = MAX_SKETCH) -> DataFrame:
     """The rows of docs that stay, one of each group, with all their columns."""
     key, mark = fresh(docs, "dedup_id", "dedup_mark")
-    gone = groups(docs, max_bits, max_sketch).where("id <> group").select(F.col("id").alias(key), F.lit(0).alias(mark))
-    several = docs.select(F.col("doc_id").cast("long").alias(key)).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key, F.lit(1).alias(mark))
-    marks = gone.union(several).groupBy(key).agg(F.min(mark).alias(mark))
-    rows = docs.withColumn(key, F.col("doc_id").cast("long")).join(marks, key, "left")
+    id_ = F.col("doc_id").cast("long")
+    gone = groups(docs, max_bits, max_sketch).where("id <> group").select(F.col("id").alias(key))
+    # doc_ids of several rows; written, so that Spark knows their number: the texts are shuffled for them only if they are many
+    several = written(docs.select(id_.alias(key)).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "several")
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = docs.withColumn(key, id_).join(several, key, "left_anti").join(gone, key, "left_anti").select(*columns)
     order = [*(F.col(c) for c in ("text", "source", "lang", "n_chars") if c in docs.columns), F.to_json(F.struct(*columns))]
-    one = rows.where(F.col(mark) == 1).groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias(mark)).select(f"{mark}.*")
-    return rows.where(F.col(mark).isNull()).select(*columns).unionByName(one)
+    rows = docs.withColumn(key, id_).join(several.join(gone, key, "left_anti"), key)
+    one = rows.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias(mark)).select(f"{mark}.*")
+    return single.unionByName(one)
