@@ -32,6 +32,7 @@ and such a model rejects nothing.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -125,7 +126,7 @@ def telling(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, most: int =
     for k in range(GRADES - 1):
         rows = grades >= k
         own = flat[np.repeat(rows, sizes)]
-        above = (grades[rows] > k).astype(float)
+        above = (grades[rows] > k).astype(np.float32)
         held = np.bincount(own, minlength=DIM)
         n = max(1, len(above))
         trend = np.bincount(own, np.repeat(above - above.mean() if n else above, sizes[rows]), DIM)
@@ -171,8 +172,8 @@ def fit(cells: list[np.ndarray], grades: np.ndarray, most: int = MOST, screen: f
     used = telling(flat, sizes, grades, most, screen, min_docs)
     to = np.full(DIM, -1, np.int64)
     to[used] = np.arange(len(used))
-    row, col = np.repeat(np.arange(len(cells)), sizes), to[flat]
-    row, col = row[col >= 0], col[col >= 0]
+    col = to[flat]
+    row, col = np.repeat(np.arange(len(cells), dtype=np.int32), sizes)[col >= 0], col[col >= 0]
     n, d, k = len(cells), len(used), GRADES - 1
     share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-4, 1 - 1e-4)
     edge = np.log(share / (1 - share))
@@ -213,10 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, most
     rows = rows.groupBy("label_id", "grade").agg(F.min("text").alias("text"))  # one row a label, however often an id comes
     got = rows.select("grade", "text").mapInArrow(_cells, "grade int, cells array<int>").toArrow()
     cells = got.column("cells").combine_chunks()
-    offsets, flat = cells.offsets.to_numpy(), cells.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets, flat = cells.offsets.to_numpy(), cells.values.to_numpy(zero_copy_only=False)
     parts = [flat[a:b] for a, b in zip(offsets, offsets[1:])]
     # in an order of their own, so that sums don't depend on the tasks' order
-    order = sorted(range(len(parts)), key=lambda i: (len(parts[i]), parts[i].tobytes()))
+    order = sorted(range(len(parts)), key=lambda i: (len(parts[i]), hashlib.md5(parts[i], usedforsecurity=False).digest()))
     grade = got.column("grade").to_numpy().astype(np.int64)
     return fit([parts[i] for i in order], grade[order], most, screen, min_docs, same)
 
