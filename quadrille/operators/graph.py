@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import GraphError
-from ..shared import settled
+from ..shared import forget, settled
 from ..terms import BNODE, IRI, LITERAL, QUOTED, TERM, TRIPLE, Term, equivalent, make, nt, nt_text
 from ..vocab import OWL, RDF, RDFS
 
@@ -221,7 +221,9 @@ def infer(triples: DataFrame, mode: str = "single_pass", owl: bool = False) -> D
         made.append(now.join(wider, "p").select("s", F.col("q").alias("p"), "o"))
         if owl:
             made += _owl(now)
-        now = settled(reduce(DataFrame.union, [now, *made]).where(f"s.kind <> {LITERAL}").distinct(), "inferred")
+        before, now = now, settled(reduce(DataFrame.union, [now, *made]).where(f"s.kind <> {LITERAL}").distinct(), "inferred")
+        if before is not given:
+            forget(before)
         grown = now.count()
         if grown == n:
             return now.join(given, ["s", "p", "o"], "left_anti")

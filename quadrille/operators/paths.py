@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.values import Value, matches
 from ..plans import ast as A
 from ..plans.solutions import Solutions, join, union
-from ..shared import settled
+from ..shared import forget, settled
 from ..terms import IRI, Term, lit
 
 X, Y, Z = "_x", "_y", "_z"
@@ -105,7 +105,9 @@ def closed(edges: DataFrame) -> DataFrame:
     reach, n = edges, edges.count()
     while True:
         more = reach.join(reach.select(F.col("x").alias("m"), F.col("y").alias("z")), F.col("y") == F.col("m")).select("x", F.col("z").alias("y"))
-        reach = settled(reach.union(more).distinct(), "closure")
+        before, reach = reach, settled(reach.union(more).distinct(), "closure")
+        if before is not edges:
+            forget(before)
         grown = reach.count()
         if grown == n:
             return reach

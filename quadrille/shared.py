@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +14,10 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; one of our own where that is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        warnings.warn(f"spark.checkpoint.dir is unset: intermediate tables of this local session go to {at}", stacklevel=2)
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
@@ -24,4 +27,14 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.settled_at = path
+    return made
+
+
+def forget(*made: DataFrame) -> None:
+    """Deletes what settled() wrote; no later step may read it. Other DataFrames are left alone."""
+    for df in made:
+        if path := getattr(df, "settled_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
