@@ -16,6 +16,7 @@ from .functions.values import Value
 from .operators import graph, metrics
 from .operators.authoring import GraphBuilder
 from .operators.paths import closed_from
+from .operators.reasoning import Reasoning, reason
 from .plans.engine import Engine
 from .queries import _P, _SHAPES, _triples, engine, operator, query
 from .shacl.dataquality import DataQuality
@@ -315,6 +316,15 @@ def _owl_rules(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+@operator("reasoning_by_rules", f"SELECT 'inverse' AS what, count(*) AS n FROM orders UNION ALL SELECT 'rich', count(*) FROM customer WHERE c_acctbal > 9000")
+def _reasoned(spark: SparkSession, d: str) -> DataFrame:
+    t = benchmark_tables(spark, d).quads(["orders", "customer"]).where(F.col("p").isin(f"{BASE}o_custkey", f"{BASE}c_acctbal")).select("s", "p", "o")
+    rules = quads(spark, parse(f"<{BASE}placed> <{OWL.inverseOf}> <{BASE}o_custkey> .")).select("s", "p", "o")
+    how = Reasoning(frozenset({"owl_inverse_of"}), (_P + "CONSTRUCT { ?c a :Rich } WHERE { ?c :c_acctbal ?b FILTER(?b > 9000) }",))
+    got = reason(t.union(rules), how)
+    return got.select(F.when(F.col("p") == f"{BASE}placed", "inverse").otherwise("rich").alias("what")).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+
+
 @operator("classification", f"{_TREE} SELECT child AS node, string_agg(parent, ' ') AS targets FROM e GROUP BY child")
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     return graph.classification(_tree(spark, d)).withColumn("targets", F.array_join("targets", " "))

@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.errors import ParseError
+from quadrille.errors import ParseError, UnsupportedError
 from quadrille.operators import graph, metrics
 from quadrille.operators.authoring import GraphBuilder
+from quadrille.operators.reasoning import Reasoning, preset, reason
 from quadrille.shacl.reports import report_turtle, to_json, to_markdown
 from quadrille.shacl.rules import check
 from quadrille.shacl.validate import Validator, as_triples, report
@@ -121,6 +122,16 @@ def test_rdfs(spark):
     assert full == once | {("A", "D"), ("x", "B"), ("x", "C"), ("x", "D")}
 
 
+def test_reasoning_by_rules(spark):
+    t = ttl(spark, ":p a owl:FunctionalProperty . :a :p :x , :y . :y :q 1 . :U owl:unionOf ( :A :B ) . :i a :A . :j a :B .")
+    got = {(r.s.lex[-1], r.p.rpartition("#")[2].rpartition("/")[2], r.o.lex[-1]) for r in reason(t, preset("owl_rl")).collect()}
+    assert {("y", "sameAs", "x"), ("x", "q", "1"), ("A", "subClassOf", "U"), ("i", "type", "U"), ("j", "type", "U")} <= got
+    assert reason(t, preset("rdfs")).count() == 0 and reason(t, preset("custom", custom=("CONSTRUCT { ?s <http://x/is> ?o } WHERE { ?s a ?o }",), rounds=1)).count() == 3
+    for bad in (lambda: preset("owl_dl"), lambda: Reasoning(frozenset({"magic"}))):
+        with pytest.raises(UnsupportedError):
+            bad()
+
+
 def test_lists(spark):
     t = ttl(spark, ":a :l ( 1 2 ) . :b :l _:c . _:c <%s> 1 ; <%s> _:c ." % (RDF.first, RDF.rest))
     heads = t.where(F.col("p") == "http://x/l").select(F.col("o").alias("head"))
