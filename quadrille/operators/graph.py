@@ -396,10 +396,10 @@ def cosine_pairs(vectors: DataFrame, least: float, key: str = "id", vec: str = "
     return got.where(F.round("similarity", 6) >= least).withColumn("similarity", F.round("similarity", 6))
 
 
-def drift(a: Column, b: Column) -> Column:
-    """1 - cosine of two unit vectors, within 0 and 1, rounded half up to 6 places."""
+def drift(a: Column, b: Column, places: int = 6) -> Column:
+    """1 - cosine of two unit vectors, within 0 and 1, rounded half up to that many places, once: rounding the rounded may lift it by a unit."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - dot)), 6)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - dot)), places)
 
 
 def labels(triples: DataFrame, predicates: tuple[str, ...], excluded: tuple[str, ...] = ()) -> DataFrame:

@@ -384,7 +384,7 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 def _drift(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return e.join(other, "vec_id").select(F.col("vec_id").alias("id"), F.round(graph.drift(F.col("embedding"), F.col("other")), 4).alias("drift"))
+    return e.join(other, "vec_id").select(F.col("vec_id").alias("id"), graph.drift(F.col("embedding"), F.col("other"), 4).alias("drift"))
 
 
 @operator("shape_digest", "SELECT true AS same, false AS other, true AS cached")

@@ -199,3 +199,11 @@ def test_similarity(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.8, 0.6]), ("c", [0.0, 1.0])], "id string, vec array<float>")
     assert [(r.a, r.b) for r in graph.cosine_pairs(v, 0.7).collect()] == [("a", "b")]
     assert v.select(graph.drift(F.col("vec"), F.array(F.lit(1.0), F.lit(0.0)))).collect()[1][0] == 0.2
+
+
+def test_drift_is_rounded_once(spark, tmp_path):
+    import __spark_entry__
+
+    v = [(0, [0.5000503, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0]), (4, [1.0, 0.0])]  # 0.4999497: to 6 places 0.49995, which rounds to 0.5
+    spark.createDataFrame(v, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(tuple(r) for r in __spark_entry__.queries()["embedding_drift"](spark, str(tmp_path)).collect()) == [(0, 0.4999), (1, 1.0)]
