@@ -16,8 +16,10 @@ read, so other columns may have any name.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,10 @@ from .pretokens import CHUNK, PATTERN, encoding
 
 #: Documents in a batch; positions in it fit into 16 bits.
 BATCH = 1 << 14
+#: Chunks counted at a time, and entries packed at a time.
+RUN = 1 << 18
+#: Bytes, about, of chunks and entries at which a task hands on what it has of a batch.
+HELD = 160 << 20
 _TOP = 255
 _findall = regex.compile(PATTERN).findall
 
@@ -79,23 +85,60 @@ class _Numbers(dict):
         return n
 
 
-def _gather(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The pre-tokens of a batch, and for each entry, sorted by pre-token: its number, the text's and the frequency, at most _TOP."""
-    chunks, pieces = _Numbers(), _Numbers()
-    tokens = [np.fromiter(map(chunks.__getitem__, CHUNK.findall(t or "")), np.int32) for t in texts]
-    split = [[pieces[p] for p in _pieces(c)] for c in chunks]
-    width = np.fromiter(map(len, split), np.int64, len(split))
-    flat, start = np.fromiter(chain.from_iterable(split), np.int64, int(width.sum())), np.r_[0, np.cumsum(width)]
-    token, text = np.concatenate([*tokens, np.empty(0, np.int32)]), np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    n = width[token]
-    at = np.repeat(start[token], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    key, often = np.unique(flat[at] * BATCH + np.repeat(text, n), return_counts=True)
+class _Chunks(dict):
+    """Numbers chunks likewise, and the pre-tokens of all: flat has those of chunk i from start[i] to start[i + 1]. size: bytes held, about."""
+
+    def __init__(self) -> None:
+        self.pieces, self.flat, self.start, self.size = _Numbers(), array("i"), array("q", [0]), 0
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.flat.extend([self.pieces[p] for p in _pieces(chunk)])
+        self.start.append(len(self.flat))
+        self.size += 200 + len(chunk)
+        return n
+
+
+def _cut(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The number of a text and its chunks, those of a long text in several parts."""
+    for i, t in enumerate(texts):
+        t = t.as_py() or ""
+        if len(t) <= RUN:
+            yield i, CHUNK.findall(t)
+        else:
+            found = map(re.Match.group, CHUNK.finditer(t))
+            while part := list(islice(found, RUN)):
+                yield i, part
+
+
+def _entries(chunks: _Chunks, token: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Sorted numbers that have a pre-token's number above bit 24, the text's above bit 8 and the frequency, at most _TOP, below."""
+    flat, start = np.array(chunks.flat), np.array(chunks.start)
+    n = start[token + 1] - start[token]
+    at = np.repeat(start[token] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    key, often = np.unique(flat[at].astype(np.int64) << 16 | np.repeat(text, n), return_counts=True)
     times = -(-often // _TOP)  # a frequency beyond _TOP takes several entries
     last = np.cumsum(times) - 1
     value = np.full(int(times.sum()), _TOP)
     value[last] = often - _TOP * (times - 1)
-    key = np.repeat(key, times)
-    return list(pieces), key // BATCH, key % BATCH, value
+    return np.repeat(key, times) << 8 | value
+
+
+def _gather(texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Pre-tokens of a batch and their sorted entries. Whatever the texts, a task holds about HELD bytes of them and the chunks of one run: beyond that it hands on what it has and begins anew, even within a text."""
+    chunks, held, tokens, of, n = _Chunks(), [], [], [], 0
+    for i, found in chain(_cut(texts), [(-1, [])]):
+        tokens.append(np.fromiter(map(chunks.__getitem__, found), np.int32, len(found)))
+        of.append(i)
+        n += len(found)
+        if n >= RUN or i < 0 and n:
+            held.append(_entries(chunks, np.concatenate(tokens), np.repeat(of, [len(t) for t in tokens])))
+            tokens, of, n = [], [], 0
+        if held and not n and (i < 0 or chunks.size + 8 * sum(map(len, held)) > HELD):
+            pieces, key = list(chunks.pieces), np.concatenate(held)
+            chunks, held = _Chunks(), []
+            key.sort()
+            yield pieces, key
 
 
 def _pack(which: np.ndarray, docs: np.ndarray, often: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,17 +162,23 @@ def _unpack(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (batch, piece, packed texts and frequencies), and one that has the batch's doc_ids, under a key that no pre-token can be: NUL and a digit are never in one."""
+    names = ["batch", "piece", "data"]
     for number, whole in enumerate(batches):
         for at in range(0, max(1, whole.num_rows), BATCH):
             batch = whole.slice(at, BATCH)
-            pieces, *entries = _gather(batch.column(1).to_pylist())
-            offsets, packed = _pack(*entries, len(pieces))
             own = batch.column(0)
             ids = own.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + own.is_null().to_numpy(zero_copy_only=False).tobytes()
             uid = xxhash.xxh64_intdigest(ids, _task() * 1_000_003 + number * 4099 + at) - (1 << 63)
-            data = pa.BinaryArray.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(packed)])
-            yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([f"\0{uid + (1 << 63)}"], pa.string()), pa.array([ids], pa.binary())], ["batch", "piece", "data"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), uid, np.int64)), pa.array(pieces, pa.string()), data], ["batch", "piece", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([f"\0{uid + (1 << 63)}"], pa.string()), pa.array([ids], pa.binary())], names)
+            for pieces, key in _gather(batch.column(1)):
+                a = 0
+                while a < len(key):  # about RUN entries at a time, all of a pre-token together
+                    b = int(np.searchsorted(key, ((key[min(a + RUN, len(key)) - 1] >> 24) + 1) << 24))
+                    part, first, last = key[a:b], int(key[a] >> 24), int(key[b - 1] >> 24) + 1
+                    offsets, packed = _pack((part >> 24) - first, part >> 8 & 0xFFFF, part & 255, last - first)
+                    data = pa.BinaryArray.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(packed)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(last - first, uid, np.int64)), pa.array(pieces[first:last], pa.string()), data], names)
+                    a = b
 
 
 def _task() -> int:

@@ -6,16 +6,19 @@ import math
 import random
 import re
 import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadrille.llm import decontaminate, mixing, ordered, ordinal, pii, quality, sharding, simhash, token_counts, token_ids, urlfilter
-from quadrille.llm.pretokens import encoding
+from quadrille.llm.pretokens import PATTERN, encoding
 from quadrille.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -466,6 +469,44 @@ def test_counts_of_many_small_batches(spark, monkeypatch):
             assert got.tolist() == want[r["batch"]]
 
 
+def frequencies(texts):
+    """What _frequencies has of one batch of texts: (text, pre-token) and how often."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got, rows = Counter(), 0
+    for r in (r for b in token_counts._frequencies(iter([batch])) for r in b.to_pylist() if r["piece"][0] != "\0"):
+        rows += 1
+        for _, text, often in zip(*token_counts._unpack([r["data"]])):
+            got[int(text), r["piece"]] += int(often)
+    return got, rows
+
+
+def test_frequencies_handed_on_in_parts_are_whole(monkeypatch):
+    texts = [t for _, t, *_ in ODD] + ["it's a-b " * 700, "one two, three"] * 20
+    want = Counter((i, p) for i, t in enumerate(texts) for p in regex.findall(PATTERN, t or ""))
+    assert frequencies(texts) == (want, len({p for _, p in want}))
+    monkeypatch.setattr(token_counts, "RUN", 40)
+    monkeypatch.setattr(token_counts, "HELD", 3000)
+    got, rows = frequencies(texts)
+    assert got == want and rows > len({p for _, p in want})
+
+
+def test_memory_of_frequencies_does_not_grow_with_the_texts():
+    """This batch of 2,000,000 chunks took 165 MB when all were counted at once, and takes 58."""
+    text = " ".join(f"w{i % 5000}" for i in range(1_000_000))
+    tracemalloc.start()
+    got, _ = frequencies([text, text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.total() == 4_000_000 and peak < 100e6
+
+
+def test_counts_of_a_text_in_several_parts(spark):
+    text = "ab cd, " * 200_000
+    docs = spark.createDataFrame([(1, text), (2, "ab"), (3, None)], "doc_id long, text string")
+    want = [(1, len(encoding(vocabulary()).encode_ordinary(text))), (2, len(encoding(vocabulary()).encode_ordinary("ab"))), (3, 0)]
+    assert sorted(tuple(r) for r in token_counts.token_counts(docs, vocabulary()).collect()) == want
+
+
 def test_token_table_has_the_layout(spark, tmp_path):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
     made = token_ids.token_table(docs.coalesce(1), vocabulary())
