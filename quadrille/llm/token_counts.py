@@ -55,13 +55,15 @@ def _pieces(chunk: str) -> list[str]:
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pre-tokens of the texts; beyond about HELD bytes of chunks, those so far."""
     for batch in batches:
         chunks: set[str] = set()
-        for t in batch.column(0).to_pylist():
-            if t:
-                chunks.update(CHUNK.findall(t))
-        found = set(chain.from_iterable(map(_pieces, chunks)))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["piece"])
+        for i, found in chain(_cut(batch.column(0)), [(-1, [])]):
+            chunks.update(found)
+            if i < 0 or 200 * len(chunks) > HELD:
+                pieces = set(chain.from_iterable(map(_pieces, chunks)))
+                chunks = set()
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(pieces), pa.string())], ["piece"])
 
 
 def distinct_pretokens(docs: DataFrame) -> DataFrame:

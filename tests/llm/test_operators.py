@@ -488,6 +488,8 @@ def test_frequencies_handed_on_in_parts_are_whole(monkeypatch):
     monkeypatch.setattr(token_counts, "HELD", 3000)
     got, rows = frequencies(texts)
     assert got == want and rows > len({p for _, p in want})
+    parts = [b.column(0).to_pylist() for b in token_counts._distinct(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]))]
+    assert {p for part in parts for p in part} == {p for _, p in want} and len(parts) > 1 and max(map(len, parts)) < 80
 
 
 def test_memory_of_frequencies_does_not_grow_with_the_texts():
