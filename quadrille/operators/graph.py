@@ -380,20 +380,28 @@ def cosine_pairs(vectors: DataFrame, least: float, key: str = "id", vec: str = "
     lo = rows.select("id", "v", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("j"))
     met = lo.select("id", "v", F.least("h", "j").alias("x"), F.greatest("h", "j").alias("y"), "h")
 
+    def rounded(x):
+        """To 6 places as SQL does it: the double times 10^6, half away from zero."""
+        m = x * 1e6
+        whole = np.trunc(m)
+        return (whole + np.copysign(np.abs(m - whole) >= 0.5, m)) / 1e6
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x, y = int(g["x"].iloc[0]), int(g["y"].iloc[0])
         left, right = g[g["h"] == x], g[g["h"] == y]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
         a, b = np.stack(left["v"].to_numpy()).astype(np.float64), np.stack(right["v"].to_numpy()).astype(np.float64)
-        i, j = np.nonzero(a @ b.T >= least - 1e-9)
-        sim = np.einsum("ij,ij->i", a[i], b[j])
+        i, j = np.nonzero(a @ b.T >= least - 1e-6)
+        sim = np.zeros(len(i))
+        for x_, y_ in zip(a.T, b.T):  # one dimension after the other, as SQL sums: another order differs in the last bit, which rounding may show
+            sim += x_[i] * y_[j]
+        sim = rounded(sim)
         p, q = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = (p < q) if x == y else np.ones(len(p), bool)
+        keep = (sim >= least) & ((p < q) if x == y else True)
         return pd.DataFrame({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "similarity": sim[keep]})
 
-    got = met.groupBy("x", "y").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
-    return got.where(F.round("similarity", 6) >= least).withColumn("similarity", F.round("similarity", 6))
+    return met.groupBy("x", "y").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
 def drift(a: Column, b: Column, places: int = 6) -> Column:
