@@ -25,7 +25,7 @@ from .shacl.validate import Validator, as_triples, compiled, digest, report
 from .shared import settled, shared_folder
 from .sources.quads import QuadSource
 from .sources.relational import BASE, benchmark_tables
-from .sources.turtle import format_of, parse, quads, read, to_jsonld, to_turtle, write
+from .sources.turtle import format_of, parse, quads, read, write
 from .streaming.ingest import append, read_stream
 from .terms import BNODE, IRI, LITERAL, bnode, iri, make
 from .vocab import OWL, RDF, RDFS, SKOS, XSD, resolve
@@ -207,11 +207,10 @@ def _flat(q: DataFrame) -> DataFrame:
 for _fmt in ("turtle", "trig", "json-ld", "rdf-xml"):
 
     def _round_trip(spark: SparkSession, d: str, fmt: str = _fmt) -> DataFrame:
-        from .sources.rdfxml import to_rdfxml
-
+        at = f"{shared_folder(spark).rstrip('/')}/{fmt}-{uuid.uuid4().hex}"
         t = _names(spark, d)
-        text = {"turtle": lambda: to_turtle(t, {"x": BASE}), "trig": lambda: to_turtle(t.withColumn("g", F.lit(f"{BASE}graph/c"))), "json-ld": lambda: to_jsonld(t), "rdf-xml": lambda: to_rdfxml(t)}[fmt]()
-        return _flat(quads(spark, parse(text, fmt)))
+        write(t.withColumn("g", F.lit(f"{BASE}graph/c")) if fmt == "trig" else t, at, fmt, {"x": BASE} if fmt == "turtle" else None)
+        return _flat(read(spark, at, fmt, parts=True))
 
     operator(f"format_{_fmt.replace('-', '_')}", _NAMES_SQL)(_round_trip)
 
