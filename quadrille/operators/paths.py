@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import Value, matches
 from ..plans import ast as A
-from ..plans.solutions import Solutions, join, union
+from ..plans.solutions import Solutions, join, met, union
 from ..shared import forget, settled
 from ..terms import IRI, Term, lit
 
@@ -34,10 +34,7 @@ def pairs(source: Any, path: A.Path, graph: Any = None, start: Term | None = Non
     if isinstance(path, A.Inverse):
         return _renamed(pairs(source, path.path, graph), {X: Y, Y: X}).project([X, Y])
     if isinstance(path, A.Sequence):
-        made = pairs(source, path.steps[0], graph)
-        for step in path.steps[1:]:
-            made = join(_renamed(made, {X: X, Y: Z}), _renamed(pairs(source, step, graph), {X: Z, Y: Y})).project([X, Y])
-        return made
+        return sequence(source, path, pairs(source, path.steps[0], graph), graph)
     if isinstance(path, A.Alternative):
         return union([pairs(source, p, graph) for p in path.options])
     if isinstance(path, A.Negated):
@@ -55,6 +52,14 @@ def pairs(source: Any, path: A.Path, graph: Any = None, start: Term | None = Non
     raise TypeError(path)
 
 
+def sequence(source: Any, path: A.Sequence, made: Solutions, graph: Any = None) -> Solutions:
+    """The steps after the first, from solutions of it. A step that goes back on one that went there may give many nodes for each of many: all nodes of a nation for each of them."""
+    for before, step in zip(path.steps, path.steps[1:]):
+        many = isinstance(step, A.Inverse) and not isinstance(before, A.Inverse)
+        made = (met if many else join)(_renamed(made, {X: X, Y: Z}), _renamed(pairs(source, step, graph), {X: Z, Y: Y})).project([X, Y])
+    return made
+
+
 def identity(source: Any, graph: Any, start: Term | None) -> Solutions:
     """Each node with itself; a constant start too, though the graph lacks it."""
     if start is not None:

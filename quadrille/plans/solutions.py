@@ -109,6 +109,17 @@ def join(a: Solutions, b: Solutions, how: str = "inner", on=None) -> Solutions:
     return Solutions.of(made, both, a.maybe | (b.maybe & extra) | (extra if how == "left" else set()))
 
 
+def met(a: Solutions, b: Solutions) -> Solutions:
+    """Like an inner join, for results much larger than both sides: see shared.spread()."""
+    a, b, shared = _aligned(a, b)
+    if not shared or any(n in a.maybe or n in b.maybe for n in shared):
+        return join(a, b)
+    names = {n: f"r_{n}" if n in shared else column(n) for n in b.values}
+    right = b.df.select(*(v.col.alias(names[n]) for n, v in b.values.items()))
+    made = spread(a.df, right, [(column(n), names[n]) for n in shared])
+    return Solutions.of(made, {**{n: v.at(names[n]) for n, v in b.values.items()}, **a.values}, a.maybe | (b.maybe - set(a.values)))
+
+
 def minus(a: Solutions, b: Solutions) -> Solutions:
     """Solutions of a that are compatible with none of b with which they share a bound variable."""
     a, b, shared = _aligned(a, b)

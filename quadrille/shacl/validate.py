@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from ..errors import ShapeError
 from ..functions.values import Value, constant, less, matches
 from ..operators.graph import instances, lists
-from ..operators.paths import closed_from, pairs
+from ..operators.paths import X, closed_from, pairs, sequence
 from ..plans import ast as A
 from ..plans.engine import Engine
 from ..plans.parser import parse_query
 from ..plans.solutions import Solutions, column, join, union
-from ..shared import settled
+from ..shared import once, settled
 from ..sources.quads import QuadSource
 from ..sources.relational import TableSource
 from ..sources.turtle import parse
@@ -137,7 +137,7 @@ class Validator:
                 found.append(self.source.stars([A.Triple(a, Term(IRI, o.lex), b)])[0].project(["f"]).distinct())
         for o in sh.all(s, SH.targetWhere):
             t = self.source.triples()
-            everything = self.nodes(t.select("s").distinct(), F.col("s"))
+            everything = self.nodes(once(t.select("s")), F.col("s"))
             found.append(join(everything, self.failing(o, everything), "anti"))
         if s.kind == IRI and isinstance(self.source, QuadSource):
             found.append(self.source.stars([A.Triple(A.Var("f"), Term(IRI, SH.shape), s)])[0])
@@ -192,9 +192,14 @@ class Validator:
                 values = Solutions.of(focus.df, {"f": focus.values["f"], "v": focus.values["f"]})
                 return self.constraints(s, focus, values, "")
             path = self.shapes.path(path_node)
-            found = pairs(self.source, path)
-            found = Solutions.of(found.df, {"f": found.values["_x"], "v": found.values["_y"]})
-            return self.constraints(s, focus, join(focus, found), path_node.lex if path_node.kind == IRI else str(path), path)
+            if isinstance(path, A.Sequence):  # from the focus nodes on, not from all nodes
+                first = join(Solutions.of(focus.df, {X: focus.values["f"]}), pairs(self.source, path.steps[0]))
+                found = sequence(self.source, path, first)
+                values = Solutions.of(found.df, {"f": found.values["_x"], "v": found.values["_y"]})
+            else:
+                found = pairs(self.source, path)
+                values = join(focus, Solutions.of(found.df, {"f": found.values["_x"], "v": found.values["_y"]}))
+            return self.constraints(s, focus, values, path_node.lex if path_node.kind == IRI else str(path), path)
         finally:
             self.stack.pop()
 
@@ -225,6 +230,8 @@ class Validator:
 
     def bad_values(self, s: Term, values: Solutions, shape: Term) -> Solutions:
         """(f, v) whose value fails a shape."""
+        if not self.shapes.true(shape, SH.deactivated) and (shape in self.stack or len(self.stack) > 64):
+            return values  # as in failing(): all of them
         v = values.project(["v"]).distinct()
         bad = self.failing(shape, Solutions.of(v.df, {"f": v.values["v"]}))
         return join(values, Solutions.of(bad.df, {"v": bad.values["f"]}), "semi")
