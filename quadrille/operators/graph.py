@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import GraphError
-from ..shared import forget, settled
+from ..shared import forget, once, settled
 from ..terms import BNODE, IRI, LITERAL, QUOTED, TERM, TRIPLE, Term, equivalent, make, nt, nt_text
 from ..vocab import OWL, RDF, RDFS
 
@@ -32,7 +32,7 @@ def describe(triples: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def union_graphs(*graphs: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, graphs).distinct()
+    return once(reduce(DataFrame.unionByName, graphs))
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -181,13 +181,33 @@ def _links(t: DataFrame, p: str) -> DataFrame:
     return t.where(F.col("p") == p).select(F.col("s").alias("a"), F.col("o").alias("b")).where(f"b.kind <> {LITERAL}")
 
 
+#: Rules of more rows than this aren't broadcast.
+MOST_RULES = 100_000
+
+
+def _few(rules: DataFrame) -> DataFrame:
+    """What the schema says of predicates, to be joined with data: as a broadcast, since one predicate may be that of all the data, which a join by predicates would put into one task."""
+    made = settled(rules.distinct(), "rules")
+    return F.broadcast(made) if made.limit(MOST_RULES + 1).count() <= MOST_RULES else made
+
+
+def _new(now: DataFrame, made: list[DataFrame], name: str) -> DataFrame:
+    """The statements made that aren't known, each once, as a table. Only what is known of their predicates is read."""
+    found = settled(once(reduce(DataFrame.union, made).select("s", "p", "o").where(f"s.kind <> {LITERAL}")), name)
+    said = [r[0] for r in found.select("p").distinct().limit(1001).collect()]
+    known = now.where(F.col("p").isin(said)) if len(said) <= 1000 else now
+    new = settled(found.join(known, ["s", "p", "o"], "left_anti"), name)
+    forget(found)
+    return new
+
+
 def _transitive(t: DataFrame, p: str) -> DataFrame:
     l = _links(t, p)  # noqa: E741
     return l.join(l.select(F.col("a").alias("m"), F.col("b").alias("c")), F.col("b") == F.col("m")).select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("c").alias("o"))
 
 
 def _typed(t: DataFrame, rule: str, at: str, only_iris: bool) -> DataFrame:
-    rules = _links(t, rule).select(F.col("a.lex").alias("q"), F.col("b").alias("class"))
+    rules = _few(_links(t, rule).select(F.col("a.lex").alias("q"), F.col("b").alias("class")))
     rows = t.join(rules, F.col("p") == F.col("q"))
     if at == "o":
         rows = rows.where(f"o.kind = {IRI}" if only_iris else f"o.kind <> {LITERAL}")
@@ -211,23 +231,20 @@ def infer(triples: DataFrame, mode: str = "single_pass", owl: bool = False) -> D
         made = reduce(DataFrame.union, [_transitive(schema, RDFS.subClassOf), _transitive(schema, RDFS.subPropertyOf), *typed])
         known = triples.select("s", "p", "o").where(F.col("p").isin(RDF.type, RDFS.subClassOf, RDFS.subPropertyOf))
         return made.distinct().join(known, ["s", "p", "o"], "left_anti")
-    given = settled(triples.select("s", "p", "o").distinct(), "given")
-    now, n = given, given.count()
+    now, added = settled(once(triples.select("s", "p", "o")), "given"), []
     while True:
         made = rules(now, False)
         up = _links(now, RDFS.subClassOf).select(F.col("a").alias("o"), F.col("b").alias("c"))
         made.append(now.where(F.col("p") == RDF.type).join(up, "o").select("s", "p", F.col("c").alias("o")))
-        wider = _links(now, RDFS.subPropertyOf).select(F.col("a.lex").alias("p"), F.col("b.lex").alias("q"))
+        wider = _few(_links(now, RDFS.subPropertyOf).select(F.col("a.lex").alias("p"), F.col("b.lex").alias("q")))
         made.append(now.join(wider, "p").select("s", F.col("q").alias("p"), "o"))
         if owl:
             made += _owl(now)
-        before, now = now, settled(reduce(DataFrame.union, [now, *made]).where(f"s.kind <> {LITERAL}").distinct(), "inferred")
-        if before is not given:
-            forget(before)
-        grown = now.count()
-        if grown == n:
-            return now.join(given, ["s", "p", "o"], "left_anti")
-        n = grown
+        new = _new(now, made, "inferred")
+        added.append(new)
+        if new.isEmpty():
+            return reduce(DataFrame.union, added)
+        now = now.union(new)
 
 
 def _owl(t: DataFrame) -> list[DataFrame]:
@@ -235,16 +252,16 @@ def _owl(t: DataFrame) -> list[DataFrame]:
     flip = lambda rows, p: rows.where(f"o.kind <> {LITERAL}").select(F.col("o").alias("s"), p.alias("p"), F.col("s").alias("o"))
     out = []
     inverse = _links(t, OWL.inverseOf).select(F.col("a.lex").alias("q"), F.col("b.lex").alias("r"))
-    both = inverse.union(inverse.select("r", "q"))
+    both = _few(inverse.union(inverse.select("r", "q")))
     out.append(flip(t.join(both, F.col("p") == F.col("q")), F.col("r")))
-    symmetric = of_type(OWL.SymmetricProperty).union(t.sparkSession.createDataFrame([(OWL.sameAs,)], "q string"))
+    symmetric = _few(of_type(OWL.SymmetricProperty).union(t.sparkSession.createDataFrame([(OWL.sameAs,)], "q string")))
     out.append(flip(t.join(symmetric, F.col("p") == F.col("q")), F.col("p")))
-    closed = t.join(of_type(OWL.TransitiveProperty).union(t.sparkSession.createDataFrame([(OWL.sameAs,)], "q string")), F.col("p") == F.col("q")).select("s", "p", "o")
+    closed = t.join(_few(of_type(OWL.TransitiveProperty).union(t.sparkSession.createDataFrame([(OWL.sameAs,)], "q string"))), F.col("p") == F.col("q")).select("s", "p", "o")
     out.append(closed.join(closed.select(F.col("s").alias("m"), F.col("p").alias("q"), F.col("o").alias("z")), (F.col("o") == F.col("m")) & (F.col("p") == F.col("q"))).select("s", "p", F.col("z").alias("o")))
     for eq, sub in ((OWL.equivalentClass, RDFS.subClassOf), (OWL.equivalentProperty, RDFS.subPropertyOf)):
         e = _links(t, eq)
         out.append(e.union(e.select("b", "a")).select(F.col("a").alias("s"), F.lit(sub).alias("p"), F.col("b").alias("o")))
-    same = _links(t, OWL.sameAs)
+    same = _few(_links(t, OWL.sameAs))
     out.append(t.join(same, F.col("s") == F.col("a")).select(F.col("b").alias("s"), "p", "o"))
     out.append(t.join(same, F.col("o") == F.col("a")).select("s", "p", F.col("b").alias("o")))
     return out

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedError
-from ..shared import forget, settled
+from ..shared import once, settled
 from ..terms import IRI, LITERAL
 from ..vocab import OWL, RDF, RDFS
-from .graph import _links, _transitive, _typed, lists
+from .graph import _few, _links, _new, _transitive, _typed, lists
 
 
 def _flipped(rows: DataFrame, p: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _flipped(rows: DataFrame, p: str) -> DataFrame:
 
 
 def _of_type(t: DataFrame, cls: str) -> DataFrame:
-    return t.where((F.col("p") == RDF.type) & (F.col("o.lex") == cls)).select(F.col("s.lex").alias("q")).distinct()
+    return _few(t.where((F.col("p") == RDF.type) & (F.col("o.lex") == cls)).select(F.col("s.lex").alias("q")))
 
 
 def _subclass(t: DataFrame) -> list[DataFrame]:
@@ -30,7 +30,7 @@ def _subclass(t: DataFrame) -> list[DataFrame]:
 
 
 def _subproperty(t: DataFrame) -> list[DataFrame]:
-    wider = _links(t, RDFS.subPropertyOf).select(F.col("a.lex").alias("p"), F.col("b.lex").alias("q"))
+    wider = _few(_links(t, RDFS.subPropertyOf).select(F.col("a.lex").alias("p"), F.col("b.lex").alias("q")))
     return [_transitive(t, RDFS.subPropertyOf), t.join(wider, "p").select("s", F.col("q").alias("p"), "o")]
 
 
@@ -54,12 +54,12 @@ def _transitive_properties(t: DataFrame) -> list[DataFrame]:
 
 def _inverse(t: DataFrame) -> list[DataFrame]:
     i = _links(t, OWL.inverseOf).select(F.col("a.lex").alias("q"), F.col("b.lex").alias("r"))
-    return [_flipped(t.join(i.union(i.select("r", "q")), F.col("p") == F.col("q")), "r")]
+    return [_flipped(t.join(_few(i.union(i.select("r", "q"))), F.col("p") == F.col("q")), "r")]
 
 
 def _same_as(t: DataFrame) -> list[DataFrame]:
     same = _links(t, OWL.sameAs)
-    both = same.union(same.select("b", "a")).distinct()
+    both = _few(same.union(same.select("b", "a")))
     moved = [t.join(both, F.col(c) == F.col("a")).select(*(F.col("b").alias(c) if x == c else x for x in ("s", "p", "o"))) for c in ("s", "o")]
     return [both.select(F.col("a").alias("s"), F.lit(OWL.sameAs).alias("p"), F.col("b").alias("o")), *moved]
 
@@ -125,16 +125,13 @@ def reason(triples: DataFrame, how: Reasoning) -> DataFrame:
     from ..plans.engine import Engine
     from ..sources.quads import QuadSource
 
-    given = now = settled(triples.select("s", "p", "o").distinct(), "given")
-    n, done = now.count(), 0
+    now, added, done = settled(once(triples.select("s", "p", "o")), "given"), [], 0
     while how.rounds is None or done < how.rounds:
         made = [d for r in sorted(how.rules & RULES.keys()) for d in RULES[r](now)]
         made += [Engine(now.sparkSession, QuadSource.of_triples(now)).run(q).select("s", "p", "o") for q in how.custom]
-        before, now = now, settled(reduce(DataFrame.union, [now, *made]).where(f"s.kind <> {LITERAL}").distinct(), "reasoned")
-        if before is not given:
-            forget(before)
-        grown, done = now.count(), done + 1
-        if grown == n:
+        new, done = _new(now, made or [now.limit(0)], "reasoned"), done + 1
+        added.append(new)
+        if new.isEmpty():
             break
-        n = grown
-    return now if how.axioms else now.join(given, ["s", "p", "o"], "left_anti")
+        now = now.union(new)
+    return now if how.axioms else reduce(DataFrame.union, added) if added else now.limit(0)

@@ -22,7 +22,7 @@ from .queries import _P, _SHAPES, _triples, engine, operator, query
 from .shacl.dataquality import DataQuality
 from .shacl.rules import check
 from .shacl.validate import Validator, as_triples, compiled, digest, report
-from .shared import settled, shared_folder
+from .shared import once, settled, shared_folder
 from .sources.quads import QuadSource
 from .sources.relational import BASE, benchmark_tables
 from .sources.turtle import format_of, parse, quads, read, write
@@ -407,7 +407,7 @@ def shapes(name: str, text: str, sql: str, data=None) -> None:
     """(node, value, what) of the violations of shapes over the tables, or over triples that data makes."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        source = benchmark_tables(spark, d) if data is None else QuadSource.of_triples(settled(data(spark, d).distinct(), "data"))
+        source = benchmark_tables(spark, d) if data is None else QuadSource.of_triples(settled(once(data(spark, d)), "data"))
         found = Validator(spark, source, _SHAPES + text).validate()
         return found.select(F.col("focus.lex").alias("node"), F.col("value.lex").alias("value"), F.col("constraint").alias("what"))
 
